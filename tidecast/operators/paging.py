@@ -1,0 +1,25 @@
+"""Name lists of groups that may be of any size."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+PAGE_SIZE = 10_000
+
+
+def paged_names(
+    rows: DataFrame, groups: DataFrame, by: list[str], size: str, entry: Column, name: str, page_size: int = PAGE_SIZE
+) -> DataFrame:
+    """Attach to each group its members in the order of ``entry``, as arrays of bounded length.
+
+    ``groups`` has one row per group with its member count in ``size`` and must be few rows (it is
+    broadcast). A group of up to ``page_size`` members is one array on page 0. A larger one is
+    spread by hash over as many pages as it needs, each ordered and in a row of its own, so no
+    member is lost and no task gathers a whole group.
+    """
+    pages = F.ceil(F.col(size) / F.lit(page_size))
+    placed = rows.join(F.broadcast(groups), by).withColumn(
+        "page", F.pmod(F.xxhash64(entry), pages).cast("bigint")
+    )
+    return placed.groupBy(*groups.columns, "page").agg(F.array_sort(F.collect_list(entry)).alias(name))
