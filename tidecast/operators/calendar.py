@@ -86,11 +86,15 @@ def with_features(df: DataFrame, holidays: DataFrame) -> DataFrame:
     return with_holidays(with_calendar(df), holidays).select(*keep, *CALENDAR, *HOLIDAY)
 
 
+def daily_totals(raw: DataFrame) -> DataFrame:
+    """One row per day and series over the sites. Keeps the partitioning of the rollup before it."""
+    volumes = ("daily_impressions", "desktop_impressions", "mobile_impressions")
+    return raw.groupBy("date", "ad_unit").agg(*[F.sum(c).cast("bigint").alias(c) for c in volumes])
+
+
 def build_daily(raw: DataFrame, holidays: DataFrame) -> DataFrame:
     """Daily series with features, from raw daily counts."""
-    volumes = ("daily_impressions", "desktop_impressions", "mobile_impressions")
-    totals = raw.groupBy("date", "ad_unit").agg(*[F.sum(c).cast("bigint").alias(c) for c in volumes])
-    return with_features(totals, holidays)
+    return with_features(daily_totals(raw), holidays)
 
 
 def future_features(df: DataFrame, holidays: DataFrame, start, end) -> DataFrame:

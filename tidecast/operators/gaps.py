@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions import scalars as fn
-from tidecast.operators.calendar import with_features
-from tidecast.sources.tables import window_slice
+from tidecast.operators.calendar import CALENDAR, HOLIDAY, with_features
 
 VOLUMES = ("daily_impressions", "desktop_impressions", "mobile_impressions")
 
@@ -20,42 +19,70 @@ def with_previous_date(df: DataFrame, unit: str = "ad_unit", date_col: str = "da
     )
 
 
-def gap_fills(daily: DataFrame, start, end, columns=VOLUMES) -> DataFrame:
-    """The missing days inside each series with the rounded midpoint of their neighbours.
+def fill_gaps(df: DataFrame, start, end, columns=VOLUMES) -> DataFrame:
+    """Rows of ``df`` plus the missing days inside each series, marked by ``is_filled``.
 
-    Every missing day between two known ones gets the same midpoint, and days before the first or
-    after the last known day stay absent. Equal to completing the date grid and looking both ways,
-    but nothing is generated for the days that exist: each row looks at its successor and emits
-    the days in between. A series has at most one row per day, which bounds the window.
+    A missing day gets the rounded midpoint of its known neighbours, the same one on every day of
+    a longer gap; days before the first or after the last known day stay absent, and so does
+    anything outside ``start``..``end``. Equal to completing the date grid and looking both ways,
+    but in one pass over ``df``: each row looks at its successor and also emits the days in
+    between. Nothing is generated for days that exist. A series has at most one row per day, which
+    bounds the window. On filled rows the columns other than date, series and volumes are NULL.
     """
-    w = Window.partitionBy("ad_unit").orderBy("date")
+    inside = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    w = Window.partitionBy("ad_unit", inside).orderBy("date")
     behind = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = w.rowsBetween(1, Window.unboundedFollowing)
-    neighbours = window_slice(daily, start, end).select(
-        "ad_unit",
-        "date",
+    main = columns[0]
+    looked = df.select(
+        "*",
+        inside.alias("inside"),
         F.lead("date").over(w).alias("next_date"),
         *[F.last(c, ignorenulls=True).over(behind).alias(f"prev_{c}") for c in columns],
         *[F.first(c, ignorenulls=True).over(ahead).alias(f"next_{c}") for c in columns],
     )
-    main = columns[0]
-    interior = neighbours.where(
-        (F.datediff("next_date", "date") > 1)
+    interior = (
+        F.col("inside")
+        & (F.datediff("next_date", "date") > 1)
         & F.col(f"prev_{main}").isNotNull()
         & F.col(f"next_{main}").isNotNull()
     )
-    missing = F.explode(F.sequence(F.date_add("date", 1), F.date_sub("next_date", 1)))
+    last_day = F.when(interior, F.date_sub("next_date", 1)).otherwise(F.col("date"))
+    days = looked.select("*", F.explode(F.sequence(F.col("date"), last_day)).alias("day"))
+    filled = F.col("day") != F.col("date")
+
+    def value(c: str):
+        if c == "date":
+            return F.col("day").alias("date")
+        if c == "ad_unit":
+            return F.col(c)
+        if c in columns:
+            midpoint = F.round((F.col(f"prev_{c}") + F.col(f"next_{c}")) / F.lit(2.0)).cast("bigint")
+            return F.when(filled, midpoint).otherwise(F.col(c)).alias(c)
+        return F.when(~filled, F.col(c)).alias(c)
+
+    return days.select(*[value(c) for c in df.columns], filled.alias("is_filled"))
 
-    def midpoint(c):
-        return F.round((F.col(f"prev_{c}") + F.col(f"next_{c}")) / F.lit(2.0)).cast("bigint").alias(c)
 
-    return interior.select(
-        "ad_unit", *[F.col(f"{side}_{c}") for c in columns for side in ("prev", "next")], missing.alias("date")
-    ).select("date", "ad_unit", *[midpoint(c) for c in columns])
+def gap_fills(df: DataFrame, start, end, columns=VOLUMES) -> DataFrame:
+    """Only the filled days."""
+    kept = df.select("date", "ad_unit", *columns)
+    return fill_gaps(kept, start, end, columns).where("is_filled").drop("is_filled")
 
 
 def backfill_gaps(daily: DataFrame, holidays: DataFrame, start, end) -> DataFrame:
-    """``daily`` plus its filled days. A filled day is absent by construction, so no lookup against
-    the target is needed and running it again adds nothing."""
-    fills = with_features(gap_fills(daily, start, end), holidays)
-    return daily.unionByName(fills.select(*daily.columns))
+    """A daily table plus its filled days with their own features; existing rows are unchanged.
+
+    A filled day is absent by construction, so no lookup against the target is needed, and running
+    it again adds nothing.
+    """
+    features = [*CALENDAR, *HOLIDAY]
+    old = {c: f"old_{c}" for c in features}
+    filled = fill_gaps(daily.withColumnsRenamed(old), start, end)
+    named = with_features(filled, holidays)
+    return named.select(
+        *[
+            F.when(F.col("is_filled"), F.col(c)).otherwise(F.col(old[c])).alias(c) if c in old else F.col(c)
+            for c in daily.columns
+        ]
+    )

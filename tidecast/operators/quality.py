@@ -254,23 +254,30 @@ def premodel_gaps(df: DataFrame) -> DataFrame:
 
 def step_changes(df: DataFrame, window: int = STEP_WINDOW, threshold: float = STEP_RATIO) -> DataFrame:
     """Days where the mean of the next ``window`` rows and of the last ones differ by ``threshold``."""
-    before = F.avg("daily_impressions").over(fn.over_rows(["ad_unit"], "date", -window, -1))
-    after = F.avg("daily_impressions").over(fn.over_rows(["ad_unit"], "date", 1, window))
-    rolled = df.select("ad_unit", "date", "daily_impressions", before.alias("before"), after.alias("after"))
+    y = F.col("daily_impressions")
+    back, ahead = (fn.over_rows(["ad_unit"], "date", *span) for span in ((-window, -1), (1, window)))
+    rolled = df.select(
+        "ad_unit",
+        "date",
+        "daily_impressions",
+        F.sum(y).over(back).alias("sum_back"),
+        F.count(y).over(back).alias("n_back"),
+        F.sum(y).over(ahead).alias("sum_ahead"),
+        F.count(y).over(ahead).alias("n_ahead"),
+    ).where((F.col("sum_back") > 0) & (F.col("sum_ahead") > 0))
+    # One division of whole numbers per ratio: a ratio on the edge of rounding stays on it.
+    back_weight = (F.col("sum_back") * F.col("n_ahead")).cast("double")
+    ahead_weight = (F.col("sum_ahead") * F.col("n_back")).cast("double")
     # The comparison is on the rounded ratios.
-    return (
-        rolled.where((F.col("before") > 0) & (F.col("after") > 0))
-        .select(
-            "ad_unit",
-            "date",
-            "daily_impressions",
-            F.round("before", 0).alias("avg_before"),
-            F.round("after", 0).alias("avg_after"),
-            F.round(F.col("after") / F.col("before"), 2).alias("change_ratio"),
-            F.round(F.col("before") / F.col("after"), 2).alias("inverse_ratio"),
-        )
-        .where((F.col("change_ratio") >= threshold) | (F.col("inverse_ratio") >= threshold))
-    )
+    return rolled.select(
+        "ad_unit",
+        "date",
+        "daily_impressions",
+        F.round(F.col("sum_back") / F.col("n_back"), 0).alias("avg_before"),
+        F.round(F.col("sum_ahead") / F.col("n_ahead"), 0).alias("avg_after"),
+        F.round(ahead_weight / back_weight, 2).alias("change_ratio"),
+        F.round(back_weight / ahead_weight, 2).alias("inverse_ratio"),
+    ).where((F.col("change_ratio") >= threshold) | (F.col("inverse_ratio") >= threshold))
 
 
 def step_summary(steps: DataFrame, threshold: float = STEP_RATIO) -> DataFrame:

@@ -1,17 +1,25 @@
-"""Hourly shards to the checked daily table."""
+"""Hourly shards to the complete daily table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tidecast.operators.calendar import build_daily
-from tidecast.operators.gaps import backfill_gaps
+from tidecast.operators.calendar import daily_totals, with_features
+from tidecast.operators.gaps import fill_gaps
 from tidecast.operators.rollup import daily_rollup, extract_hourly
 
 
+def complete_daily(raw: DataFrame, holidays: DataFrame, start, end) -> DataFrame:
+    """Build and backfill together: one pass over the counts, features worked out once.
+
+    Two shuffles: by day and series for the totals (combined on the map side), by series for the
+    neighbours of a gap.
+    """
+    return with_features(fill_gaps(daily_totals(raw), start, end).drop("is_filled"), holidays)
+
+
 def load_daily(
     shards: list[DataFrame], holidays: DataFrame, start, end, titles: list[str] | None = None
 ) -> DataFrame:
-    """Extract, roll up, add features and fill gaps: one lazy plan over the shards."""
-    raw = daily_rollup(extract_hourly(shards, start, end, titles))
-    return backfill_gaps(build_daily(raw, holidays), holidays, start, end)
+    """Extract, roll up, fill gaps and add features: one lazy plan over the shards."""
+    return complete_daily(daily_rollup(extract_hourly(shards, start, end, titles)), holidays, start, end)
