@@ -62,7 +62,7 @@ def fit_xreg(train: DataFrame, keys=KEYS, regressors=REGRESSORS) -> DataFrame:
         used = used + F.col(f"pivot_{i}").isNotNull().cast("int")
     freedom = F.col("n") - used
     noise = F.when(freedom > 0, F.col("n") * F.greatest(F.col("var_y") - explained, F.lit(0.0)) / freedom)
-    return solved.select(
+    result = solved.select(
         *keys,
         "last_date",
         "n",
@@ -70,6 +70,10 @@ def fit_xreg(train: DataFrame, keys=KEYS, regressors=REGRESSORS) -> DataFrame:
         F.array(*[F.col(f"beta_{i}") for i in range(k)]).alias("coefficients"),
         F.sqrt(noise).alias("sigma"),
     )
+    # One row in, one row out and no shuffle. A filter on forecasts stops here; pushed through the
+    # elimination above it would be rewritten with every step copied into the next.
+    values = [F.first(c).alias(c) for c in result.columns if c not in keys]
+    return result.groupBy(*keys).agg(*values)
 
 
 def forecast_xreg(

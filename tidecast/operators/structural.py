@@ -125,101 +125,68 @@ def _remove_steps(rows: DataFrame, keys, in_time) -> DataFrame:
 # ---- remainder: ARIMA(p,d,0) with p, d in {0, 1}, by least squares ------------------------------
 
 
-def _remainder_stats(agg: Callable[[Column], Column]) -> dict[str, Column]:
-    """Moments of the remainder on the rows where every candidate is defined.
+def _best_order(agg: Callable[[Column], Column]) -> Column:
+    """The candidate of least AIC as one struct: order, coefficient, mean or drift, variance.
 
-    ``agg`` is the identity inside ``groupBy().agg`` and ``over(series)`` inside a window.
+    Every candidate is scored on the rows where all of them are defined. ``agg`` is the identity
+    inside ``groupBy().agg`` and ``over(series)`` inside a window. AIC leads the struct and the
+    number of terms follows, so the least struct is the choice and ties go to fewer terms.
     """
     sample = F.col("de1").isNotNull()
-
-    def of(name):
-        return F.when(sample, F.col(name))
-
-    return {
-        "n": agg(F.count(of("de1"))),
-        "mean_e": agg(F.avg(of("e"))),
-        "mean_e1": agg(F.avg(of("e1"))),
-        "var_e": agg(F.var_pop(of("e"))),
-        "var_e1": agg(F.var_pop(of("e1"))),
-        "cov_e": agg(F.covar_pop(of("e"), of("e1"))),
-        "mean_d": agg(F.avg(of("de"))),
-        "mean_d1": agg(F.avg(of("de1"))),
-        "var_d": agg(F.var_pop(of("de"))),
-        "var_d1": agg(F.var_pop(of("de1"))),
-        "cov_d": agg(F.covar_pop(of("de"), of("de1"))),
-        "mean_all": agg(F.avg("e")),
-        "var_all": agg(F.var_pop("e")),
-    }
-
-
-def _choose_order(df: DataFrame) -> DataFrame:
-    """From the moments: order by least AIC, its coefficient, mean or drift, and variance."""
+    e, e1, de, de1 = (F.when(sample, F.col(c)) for c in ("e", "e1", "de", "de1"))
+    n = agg(F.count(de1))
+    mean_e, mean_e1, mean_d, mean_d1 = (agg(F.avg(c)) for c in (e, e1, de, de1))
+    var_e, var_e1, var_d, var_d1 = (agg(F.var_pop(c)) for c in (e, e1, de, de1))
+    cov_e, cov_d = agg(F.covar_pop(e, e1)), agg(F.covar_pop(de, de1))
 
     def clipped(cov, var):
-        phi = F.coalesce(fn.positive_ratio(F.col(cov), F.col(var)), F.lit(0.0))
+        phi = F.coalesce(fn.positive_ratio(cov, var), F.lit(0.0))
         return F.least(F.greatest(phi, F.lit(-MAX_PHI)), F.lit(MAX_PHI))
 
-    df = df.withColumn("phi_e", clipped("cov_e", "var_e1")).withColumn("phi_d", clipped("cov_d", "var_d1"))
-
-    def with_ar(var, cov, var1, phi):
-        p = F.col(phi)
-        return F.col(var) - 2.0 * p * F.col(cov) + p * p * F.col(var1)
-
-    n = F.col("n")
-    drift_noise = 1.96 * F.sqrt(F.col("var_d") / F.when(n > 0, n))
-    df = df.withColumn("drifts", F.coalesce(F.abs("mean_d") > drift_noise, F.lit(False)))
-    # Without drift the differences are fitted around zero, not around their mean.
-    offset = F.when(F.col("drifts"), F.lit(0.0)).otherwise(F.col("mean_d") * F.col("mean_d"))
-    mixed = F.col("mean_d") - F.col("phi_d") * F.col("mean_d1")
-    offset_ar = F.when(F.col("drifts"), F.lit(0.0)).otherwise(mixed * mixed)
-    variances = {
-        "00": F.col("var_e"),
-        "10": with_ar("var_e", "cov_e", "var_e1", "phi_e"),
-        "01": F.col("var_d") + offset,
-        "11": with_ar("var_d", "cov_d", "var_d1", "phi_d") + offset_ar,
-    }
-    for order, variance in variances.items():
-        df = df.withColumn(f"v{order}", F.greatest(variance, F.lit(NOISE_FLOOR)))
-        terms = 1 + int(order[0])
-        df = df.withColumn(f"a{order}", F.round(n * F.log(f"v{order}") + 2.0 * terms, 6))
-    best = F.least("a00", "a01", "a10", "a11")
-    order = F.lit("11")
-    for code in ("10", "01", "00"):  # the last test made wins a tie, so fewer terms come last
-        order = F.when(F.col(f"a{code}") == best, F.lit(code)).otherwise(order)
-    short = n < MIN_SAMPLE
-    df = df.withColumn("order", F.when(short, F.lit("00")).otherwise(order))
-
-    def by_order(**columns):
-        chosen = F.lit(None).cast("double")
-        for code, column in columns.items():
-            chosen = F.when(F.col("order") == code[1:], column).otherwise(chosen)
-        return chosen
-
-    df = df.withColumns(
-        {
-            "p": F.substring("order", 1, 1).cast("bigint"),
-            "d": F.substring("order", 2, 1).cast("bigint"),
-            "phi": by_order(o10=F.col("phi_e"), o11=F.col("phi_d"), o00=F.lit(0.0), o01=F.lit(0.0)),
-            "variance": F.when(short, F.coalesce(F.col("var_all"), F.lit(0.0))).otherwise(
-                by_order(o00=F.col("v00"), o01=F.col("v01"), o10=F.col("v10"), o11=F.col("v11"))
-            ),
-            "aic": F.when(
-                ~short, by_order(o00=F.col("a00"), o01=F.col("a01"), o10=F.col("a10"), o11=F.col("a11"))
-            ),
-        }
-    )
-    df = df.withColumn("has_drift", (F.col("d") == 1) & F.col("drifts"))
-    phi = F.col("phi")
-    centre = F.when(
-        F.col("d") == 0,
-        F.when(short, F.coalesce(F.col("mean_all"), F.lit(0.0))).otherwise(
-            (F.col("mean_e") - phi * F.col("mean_e1")) / (1.0 - phi)
+    def with_ar(var, phi, cov, var1):
+        return var - 2.0 * phi * cov + phi * phi * var1
+
+    zero = F.lit(0.0)
+    phi_e, phi_d = clipped(cov_e, var_e1), clipped(cov_d, var_d1)
+    # A drift that noise explains is left out: the differences are then fitted around zero.
+    drifts = F.coalesce(F.abs(mean_d) > 1.96 * F.sqrt(var_d / F.when(n > 0, n)), F.lit(False))
+    shift = mean_d - phi_d * mean_d1
+
+    def unless_drifting(x):
+        return F.when(drifts, zero).otherwise(x)
+
+    def candidate(rank, p, d, phi, mu, variance, aic=True):
+        floored = F.greatest(variance, F.lit(NOISE_FLOOR)) if aic else variance
+        score = F.round(n * F.log(floored) + 2.0 * (1 + p), 6) if aic else F.lit(None).cast("double")
+        return F.struct(
+            score.alias("aic"),
+            F.lit(rank).alias("rank"),
+            F.lit(p).cast("bigint").alias("p"),
+            F.lit(d).cast("bigint").alias("d"),
+            phi.alias("phi"),
+            mu.alias("mu"),
+            floored.alias("variance"),
+            (drifts & F.lit(d == 1)).alias("has_drift"),
+            n.alias("n"),
+        )
+
+    candidates = [
+        candidate(0, 0, 0, zero, mean_e, var_e),
+        candidate(1, 0, 1, zero, F.when(drifts, mean_d).otherwise(zero), var_d + unless_drifting(mean_d * mean_d)),
+        candidate(2, 1, 0, phi_e, (mean_e - phi_e * mean_e1) / (1.0 - phi_e), with_ar(var_e, phi_e, cov_e, var_e1)),
+        candidate(
+            3,
+            1,
+            1,
+            phi_d,
+            F.when(drifts, shift / (1.0 - phi_d)).otherwise(zero),
+            with_ar(var_d, phi_d, cov_d, var_d1) + unless_drifting(shift * shift),
         ),
-    ).otherwise(
-        F.when(F.col("drifts"), (F.col("mean_d") - phi * F.col("mean_d1")) / (1.0 - phi)).otherwise(F.lit(0.0))
+    ]
+    flat = candidate(
+        0, 0, 0, zero, F.coalesce(agg(F.avg("e")), zero), F.coalesce(agg(F.var_pop("e")), zero), aic=False
     )
-    likelihood = -0.5 * n * (F.log(2.0 * F.pi() * F.col("variance")) + 1.0)
-    return df.withColumn("mu", centre).withColumn("log_likelihood", F.when(~short, likelihood))
+    return F.when(n < MIN_SAMPLE, flat).otherwise(F.array_min(F.array(*candidates)))
 
 
 PARAMETERS = (
@@ -240,7 +207,6 @@ def fit_structural(train: DataFrame, holidays: DataFrame, keys=KEYS) -> DataFram
     effects = F.collect_set(
         F.when(F.col("holiday_name").isNotNull(), F.struct("holiday_name", F.col("holiday").alias("effect")))
     )
-    moments = _remainder_stats(lambda c: c)
     fitted = history.groupBy(*keys).agg(
         F.min("t0").alias("t0"),
         F.max("date").alias("last_date"),
@@ -257,9 +223,14 @@ def fit_structural(train: DataFrame, holidays: DataFrame, keys=KEYS) -> DataFram
         F.max(F.col("holiday_name").isNotNull()).alias("has_holiday_effect"),
         F.max(F.abs("spike") > 1e-6).alias("has_spikes_and_dips"),
         F.max("is_step").alias("has_step_changes"),
-        *[c.alias(name) for name, c in moments.items()],
+        _best_order(lambda c: c).alias("best"),
+    )
+    likelihood = -0.5 * F.col("n") * (F.log(2.0 * F.pi() * F.col("variance")) + 1.0)
+    return (
+        fitted.select("*", "best.*")
+        .withColumn("log_likelihood", F.when(F.col("aic").isNotNull(), likelihood))
+        .select(*keys, *PARAMETERS)
     )
-    return _choose_order(fitted).select(*keys, *PARAMETERS)
 
 
 # ---- forecasting --------------------------------------------------------------------------------
@@ -335,9 +306,10 @@ def detect_anomalies(
     """
     history = decompose_history(train, holidays, keys)
     series = Window.partitionBy(*keys)
-    for name, column in _remainder_stats(lambda c: c.over(series)).items():
-        history = history.withColumn(name, column)
-    rows = _choose_order(history)
+    # The choice is one value per series. Taking it through a window once more changes nothing in
+    # it, but keeps a filter on the result from being copied down into the whole derivation.
+    chosen = history.withColumn("best", _best_order(lambda c: c.over(series)))
+    rows = chosen.withColumn("best", F.max("best").over(series)).select("*", "best.*")
     phi, mu = F.col("phi"), F.col("mu")
     e1 = F.col("e1")
     stationary = mu + phi * (F.coalesce(e1, mu) - mu)
