@@ -7,8 +7,6 @@ table with one row per series and fold, not an opaque object.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +41,10 @@ def decompose_history(train: DataFrame, holidays: DataFrame, keys=KEYS) -> DataF
     series = Window.partitionBy(*keys)
     in_time = series.orderBy("date")
 
-    rows = rows.withColumn("t0", F.min("date").over(series)).withColumn("t", F.datediff("date", "t0"))
+    first, last = F.min("date").over(series), F.max("date").over(series)
+    rows = rows.select(
+        "*", first.alias("t0"), F.datediff("date", first).alias("t"), F.datediff(last, first).alias("span")
+    )
     rows = _clean_spikes(rows, keys)
     rows = _remove_steps(rows, keys, in_time)
 
@@ -62,7 +63,7 @@ def decompose_history(train: DataFrame, holidays: DataFrame, keys=KEYS) -> DataF
         F.avg("detrended").over(Window.partitionBy(*keys, "dow")) - F.avg("detrended").over(series),
     )
     rows = rows.withColumn("month", F.month("date")).withColumn("unseasoned", F.col("detrended") - F.col("weekly"))
-    long_enough = F.datediff(F.max("date").over(series), F.col("t0")) + 1 >= YEAR_DAYS
+    long_enough = F.col("span") + 1 >= YEAR_DAYS
     rows = rows.withColumn(
         "yearly", F.when(long_enough, F.avg("unseasoned").over(Window.partitionBy(*keys, "month")))
     )
@@ -79,34 +80,48 @@ def decompose_history(train: DataFrame, holidays: DataFrame, keys=KEYS) -> DataF
 
 
 def _clean_spikes(rows: DataFrame, keys) -> DataFrame:
-    """Clamp each day to three deviations around its 28 neighbours, itself left out."""
-    near = fn.over_rows(keys, "date", -SPIKE_REACH, SPIKE_REACH)
+    """Clamp each day to three deviations around its 28 neighbours, itself left out.
+
+    A sum over neighbours is a difference of two running sums, so the work per row does not grow
+    with the reach.
+    """
+    in_time = Window.partitionBy(*keys).orderBy("date")
+    so_far = in_time.rowsBetween(Window.unboundedPreceding, 0)
     y = F.col("y")
+    terms = {"k": (F.count(y), F.lit(1)), "s1": (F.sum(y), y), "s2": (F.sum(y * y), y * y)}
+    rows = rows.select("*", *[total.over(so_far).alias(name) for name, (total, _) in terms.items()])
     rows = rows.select(
         "*",
-        (F.count("y").over(near) - 1).alias("k"),
-        (F.sum("y").over(near) - y).alias("s1"),
-        (F.sum(y * y).over(near) - y * y).alias("s2"),
+        *[F.max_by(name, "date").over(Window.partitionBy(*keys)).alias(f"{name}_end") for name in terms],
+        *[F.lead(name, SPIKE_REACH).over(in_time).alias(f"{name}_ahead") for name in terms],
+        *[F.lag(name, SPIKE_REACH + 1, 0).over(in_time).alias(f"{name}_behind") for name in terms],
+    )
+    k, s1, s2 = (
+        F.coalesce(F.col(f"{name}_ahead"), F.col(f"{name}_end")) - F.col(f"{name}_behind") - own
+        for name, (_, own) in terms.items()
     )
-    k = F.col("k")
-    rows = rows.withColumn("mean", fn.ratio(F.col("s1"), k))
-    variance = fn.ratio(F.col("s2") - k * F.col("mean") * F.col("mean"), k - 1)
-    rows = rows.withColumn("reach", SPIKE_WIDTH * F.sqrt(F.greatest(variance, F.lit(0.0))))
-    clamped = F.least(F.greatest(y, F.col("mean") - F.col("reach")), F.col("mean") + F.col("reach"))
-    rows = rows.withColumn("cleaned", F.when(k >= MIN_NEIGHBOURS, clamped).otherwise(y))
-    return rows.withColumn("spike", y - F.col("cleaned")).drop("k", "s1", "s2", "mean", "reach")
+    mean = fn.ratio(s1, k)
+    variance = fn.ratio(s2 - k * mean * mean, k - 1)
+    reach = SPIKE_WIDTH * F.sqrt(F.greatest(variance, F.lit(0.0)))
+    clamped = F.least(F.greatest(y, mean - reach), mean + reach)
+    drop = [f"{name}{suffix}" for name in terms for suffix in ("", "_end", "_ahead", "_behind")]
+    rows = rows.withColumn("cleaned", F.when(k >= MIN_NEIGHBOURS, clamped).otherwise(y)).drop(*drop)
+    return rows.withColumn("spike", y - F.col("cleaned"))
 
 
 def _remove_steps(rows: DataFrame, keys, in_time) -> DataFrame:
     """Level shifts: full 30-row means before and after differ twofold, strongest row nearby."""
-    back = fn.over_rows(keys, "date", -STEP_WINDOW, -1)
-    ahead = fn.over_rows(keys, "date", 1, STEP_WINDOW)
     near = fn.over_rows(keys, "date", -STEP_WINDOW, STEP_WINDOW)
-
-    def full_mean(w):
-        return F.when(F.count("cleaned").over(w) == STEP_WINDOW, F.avg("cleaned").over(w))
-
-    rows = rows.withColumn("before", full_mean(back)).withColumn("after", full_mean(ahead))
+    so_far = in_time.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("run", F.sum("cleaned").over(so_far))
+    position = F.row_number().over(in_time)
+    run, w = F.col("run"), float(STEP_WINDOW)
+    before = (F.lag(run, 1).over(in_time) - F.lag(run, STEP_WINDOW + 1, 0.0).over(in_time)) / w
+    rows = rows.select(
+        "*",
+        F.when(position > STEP_WINDOW, before).alias("before"),
+        ((F.lead(run, STEP_WINDOW).over(in_time) - run) / w).alias("after"),
+    )
     before, after = F.col("before"), F.col("after")
     strength = F.round(F.greatest(after / before, before / after), 2)
     rows = rows.withColumn("strength", F.when((before > 0) & (after > 0), strength))
@@ -118,26 +133,27 @@ def _remove_steps(rows: DataFrame, keys, in_time) -> DataFrame:
     rows = rows.withColumn("is_step", F.col("step") != 0)
     rows = rows.withColumn("level", F.sum("step").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.withColumn("adjusted", F.col("cleaned") - F.col("level")).drop(
-        "before", "after", "strength", "score", "step"
+        "run", "before", "after", "strength", "score", "step"
     )
 
 
 # ---- remainder: ARIMA(p,d,0) with p, d in {0, 1}, by least squares ------------------------------
 
 
-def _best_order(agg: Callable[[Column], Column]) -> Column:
+def _best_order() -> Column:
     """The candidate of least AIC as one struct: order, coefficient, mean or drift, variance.
 
-    Every candidate is scored on the rows where all of them are defined. ``agg`` is the identity
-    inside ``groupBy().agg`` and ``over(series)`` inside a window. AIC leads the struct and the
-    number of terms follows, so the least struct is the choice and ties go to fewer terms.
+    Every candidate is scored on the rows where all of them are defined. AIC leads the struct and
+    the number of terms follows, so the least struct is the choice and ties go to fewer terms. It
+    is an expression of aggregates, to be used inside one ``agg``: a filter on the result stops at
+    that aggregation instead of being copied down into the derivation.
     """
     sample = F.col("de1").isNotNull()
     e, e1, de, de1 = (F.when(sample, F.col(c)) for c in ("e", "e1", "de", "de1"))
-    n = agg(F.count(de1))
-    mean_e, mean_e1, mean_d, mean_d1 = (agg(F.avg(c)) for c in (e, e1, de, de1))
-    var_e, var_e1, var_d, var_d1 = (agg(F.var_pop(c)) for c in (e, e1, de, de1))
-    cov_e, cov_d = agg(F.covar_pop(e, e1)), agg(F.covar_pop(de, de1))
+    n = F.count(de1)
+    mean_e, mean_e1, mean_d, mean_d1 = (F.avg(c) for c in (e, e1, de, de1))
+    var_e, var_e1, var_d, var_d1 = (F.var_pop(c) for c in (e, e1, de, de1))
+    cov_e, cov_d = F.covar_pop(e, e1), F.covar_pop(de, de1)
 
     def clipped(cov, var):
         phi = F.coalesce(fn.positive_ratio(cov, var), F.lit(0.0))
@@ -184,7 +200,7 @@ def _best_order(agg: Callable[[Column], Column]) -> Column:
         ),
     ]
     flat = candidate(
-        0, 0, 0, zero, F.coalesce(agg(F.avg("e")), zero), F.coalesce(agg(F.var_pop("e")), zero), aic=False
+        0, 0, 0, zero, F.coalesce(F.avg("e"), zero), F.coalesce(F.var_pop("e"), zero), aic=False
     )
     return F.when(n < MIN_SAMPLE, flat).otherwise(F.array_min(F.array(*candidates)))
 
@@ -223,7 +239,7 @@ def fit_structural(train: DataFrame, holidays: DataFrame, keys=KEYS) -> DataFram
         F.max(F.col("holiday_name").isNotNull()).alias("has_holiday_effect"),
         F.max(F.abs("spike") > 1e-6).alias("has_spikes_and_dips"),
         F.max("is_step").alias("has_step_changes"),
-        _best_order(lambda c: c).alias("best"),
+        _best_order().alias("best"),
     )
     likelihood = -0.5 * F.col("n") * (F.log(2.0 * F.pi() * F.col("variance")) + 1.0)
     return (
@@ -301,15 +317,17 @@ def detect_anomalies(
 ) -> DataFrame:
     """Training days whose one-step surprise is larger than ``probability`` of a normal one.
 
-    The moments are windows over the series, so flags come out of the same shuffle as the
-    decomposition and no join brings the parameters back.
+    The days of a series travel through the aggregation that chooses its order and come out again
+    with the choice, so there is no second shuffle, no join, and one choice per series. A series
+    has at most one row per day, which bounds the list.
     """
-    history = decompose_history(train, holidays, keys)
-    series = Window.partitionBy(*keys)
-    # The choice is one value per series. Taking it through a window once more changes nothing in
-    # it, but keeps a filter on the result from being copied down into the whole derivation.
-    chosen = history.withColumn("best", _best_order(lambda c: c.over(series)))
-    rows = chosen.withColumn("best", F.max("best").over(series)).select("*", "best.*")
+    carried = F.struct("date", "y", "level", "trend", "weekly", "yearly", "holiday", "e1", "de1")
+    series = (
+        decompose_history(train, holidays, keys)
+        .groupBy(*keys)
+        .agg(F.collect_list(carried).alias("days"), _best_order().alias("best"))
+    )
+    rows = series.select(*keys, "best.*", F.inline("days"))
     phi, mu = F.col("phi"), F.col("mu")
     e1 = F.col("e1")
     stationary = mu + phi * (F.coalesce(e1, mu) - mu)

@@ -2,99 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _day(month: int, day: int) -> Column:
-    return F.make_date("year", F.lit(month), F.lit(day))
+def _day(month: int, day: int) -> str:
+    return f"make_date(year, {month}, {day})"
 
 
-def _nth(month: int, weekday: str, n: int) -> Column:
+def _nth(month: int, weekday: str, n: int) -> str:
     """The n-th given weekday of a month."""
-    return F.date_add(F.next_day(F.date_sub(_day(month, 1), 1), weekday), 7 * (n - 1))
+    return f"date_add(next_day(date_sub({_day(month, 1)}, 1), '{weekday}'), {7 * (n - 1)})"
 
 
-def _easter_offset() -> Column:
-    """Days from March 1 to Easter Sunday: the anonymous Gregorian computus."""
-    return F.expr(
-        "(h + l - 7 * m + 114) div 31 * 31 + (h + l - 7 * m + 114) % 31 - 93"
-    )
-
-
-def _with_easter(years: DataFrame) -> DataFrame:
-    century = F.floor(F.col("year") / 100)
-    return (
-        years.withColumn("a", F.col("year") % 19)
-        .withColumn("b", century)
-        .withColumn("c", F.col("year") % 100)
-        .withColumn(
-            "h",
-            (
-                19 * F.col("a")
-                + F.col("b")
-                - F.floor(F.col("b") / 4)
-                - F.floor((F.col("b") - F.floor((F.col("b") + 8) / 25) + 1) / 3)
-                + 15
-            )
-            % 30,
-        )
-        .withColumn(
-            "l",
-            (32 + 2 * (F.col("b") % 4) + 2 * F.floor(F.col("c") / 4) - F.col("h") - F.col("c") % 4) % 7,
-        )
-        .withColumn("m", F.floor((F.col("a") + 11 * F.col("h") + 22 * F.col("l")) / 451))
-        .withColumn("easter", F.date_add(_day(3, 1), _easter_offset().cast("int")))
-    )
+# The anonymous Gregorian computus, one step per layer: each names what the next one uses.
+_EASTER_STEPS = [
+    {"a": "year % 19", "b": "year div 100", "c": "year % 100"},
+    {"h": "(19 * a + b - b div 4 - (b - (b + 8) div 25 + 1) div 3 + 15) % 30"},
+    {"l": "(32 + 2 * (b % 4) + 2 * (c div 4) - h - c % 4) % 7"},
+    {"m": "(a + 11 * h + 22 * l) div 451"},
+    {"offset": "(h + l - 7 * m + 114) div 31 * 31 + (h + l - 7 * m + 114) % 31 - 93"},
+    {"easter": f"date_add({_day(3, 1)}, cast(offset as int))"},
+]
 
+_THANKSGIVING = _nth(11, "Thu", 4)
 
 # Names, importance and the rule of each holiday. Where two fall on one date, the
 # later one in this list names the day.
-def _rules() -> list[tuple[str, bool, Column]]:
-    thanksgiving = _nth(11, "Thu", 4)
-    return [
-        ("New Year's Day", True, _day(1, 1)),
-        ("Martin Luther King Jr. Day", False, _nth(1, "Mon", 3)),
-        ("Super Bowl Sunday", True, _nth(2, "Sun", 2)),
-        ("Valentine's Day", False, _day(2, 14)),
-        ("Presidents Day", False, _nth(2, "Mon", 3)),
-        ("Easter Sunday", True, F.col("easter")),
-        ("Mother's Day", True, _nth(5, "Sun", 2)),
-        ("Memorial Day", True, F.next_day(_day(5, 24), "Mon")),
-        ("Father's Day", True, _nth(6, "Sun", 3)),
-        ("Juneteenth", False, _day(6, 19)),
-        ("Independence Day", True, _day(7, 4)),
-        ("Labor Day", True, _nth(9, "Mon", 1)),
-        ("Columbus Day", False, _nth(10, "Mon", 2)),
-        ("Halloween", True, _day(10, 31)),
-        ("Veterans Day", False, _day(11, 11)),
-        ("Thanksgiving Day", True, thanksgiving),
-        ("Black Friday", True, F.date_add(thanksgiving, 1)),
-        ("Cyber Monday", True, F.date_add(thanksgiving, 4)),
-        ("Christmas Eve", True, _day(12, 24)),
-        ("Christmas Day", True, _day(12, 25)),
-        ("New Year's Eve", True, _day(12, 31)),
-    ]
+_RULES = [
+    ("New Year's Day", True, _day(1, 1)),
+    ("Martin Luther King Jr. Day", False, _nth(1, "Mon", 3)),
+    ("Super Bowl Sunday", True, _nth(2, "Sun", 2)),
+    ("Valentine's Day", False, _day(2, 14)),
+    ("Presidents Day", False, _nth(2, "Mon", 3)),
+    ("Easter Sunday", True, "easter"),
+    ("Mother's Day", True, _nth(5, "Sun", 2)),
+    ("Memorial Day", True, f"next_day({_day(5, 24)}, 'Mon')"),
+    ("Father's Day", True, _nth(6, "Sun", 3)),
+    ("Juneteenth", False, _day(6, 19)),
+    ("Independence Day", True, _day(7, 4)),
+    ("Labor Day", True, _nth(9, "Mon", 1)),
+    ("Columbus Day", False, _nth(10, "Mon", 2)),
+    ("Halloween", True, _day(10, 31)),
+    ("Veterans Day", False, _day(11, 11)),
+    ("Thanksgiving Day", True, _THANKSGIVING),
+    ("Black Friday", True, f"date_add({_THANKSGIVING}, 1)"),
+    ("Cyber Monday", True, f"date_add({_THANKSGIVING}, 4)"),
+    ("Christmas Eve", True, _day(12, 24)),
+    ("Christmas Day", True, _day(12, 25)),
+    ("New Year's Eve", True, _day(12, 31)),
+]
 
 
 def holiday_dim(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
     """``holiday_date, holiday_name, is_major``: one row per date, at most 21 per year."""
-    listed = F.array(
-        *[
-            F.struct(
-                F.lit(order).alias("order"),
-                F.lit(name).alias("holiday_name"),
-                F.lit(major).alias("is_major"),
-                day.alias("holiday_date"),
-            )
-            for order, (name, major, day) in enumerate(_rules())
-        ]
+    years = spark.range(first_year, last_year + 1, numPartitions=1).selectExpr("cast(id as int) as year")
+    for step in _EASTER_STEPS:
+        years = years.selectExpr("*", *[f"{rule} as {name}" for name, rule in step.items()])
+    listed = ", ".join(
+        f"""named_struct('order', {order}, 'holiday_name', "{name}", 'is_major', {major}, 'holiday_date', {day})"""
+        for order, (name, major, day) in enumerate(_RULES)
     )
-    years = spark.range(first_year, last_year + 1, numPartitions=1).select(F.col("id").cast("int").alias("year"))
     return (
-        _with_easter(years)
-        .select(F.explode(listed).alias("h"))
-        .select("h.*")
+        years.selectExpr(f"inline(array({listed}))")
         .groupBy("holiday_date")
         .agg(
             F.max_by("holiday_name", "order").alias("holiday_name"),
