@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecast.config import Fold
 from tidecast.operators.calendar import build_daily
+from tidecast.operators.explore import distribution_stats
 from tidecast.operators.events import event_table, guidance_table
 from tidecast.operators.folds import in_fold
 from tidecast.operators.metrics import (
@@ -158,6 +159,15 @@ class Bound:
     def anomalies_wide(self) -> DataFrame:
         return detect_anomalies(in_fold(self.daily_wide, FOLDS, "train"), self.holidays)
 
+    @cached_property
+    def anomalies_wide_kept(self) -> DataFrame:
+        return settle(self.anomalies_wide)
+
+    @cached_property
+    def stats_wide_kept(self) -> DataFrame:
+        """One row per series."""
+        return settle(distribution_stats(self.raw_wide))
+
     @cached_property
     def forecasts(self) -> DataFrame:
         """Zero-shot and regressor forecasts: two models, both folds."""

@@ -84,7 +84,7 @@ _MEDIAN = f"(SELECT quantile_cont(t::DOUBLE, 0.5) AS m FROM {_TOTALS})"
     FROM {_TOTALS}, {_MEDIAN}"""
 )
 def traffic_sides(b: Bound):
-    return explore.traffic_sides(explore.distribution_stats(b.raw_wide))
+    return explore.traffic_sides(b.stats_wide_kept)
 
 
 @case(
@@ -93,7 +93,7 @@ def traffic_sides(b: Bound):
     count(*) FILTER (WHERE t <= m) AS low_traffic_units FROM {_TOTALS}, {_MEDIAN}"""
 )
 def distribution_balance(b: Bound):
-    return explore.distribution_balance(explore.distribution_stats(b.raw_wide))
+    return explore.distribution_balance(b.stats_wide_kept)
 
 
 @case(

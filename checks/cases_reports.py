@@ -14,6 +14,7 @@ from tidecast.operators import events as ev
 from tidecast.operators import intervals as iv
 from tidecast.operators import metrics as m
 from tidecast.operators import serving as sv
+from tidecast.sources.workspace import settle
 
 # ---- anomalies ----------------------------------------------------------------------------------
 
@@ -52,7 +53,7 @@ def explore_top_anomalies(b: Bound):
     FROM x_sw_anom WHERE is_anomaly GROUP BY date HAVING count(*) >= 3 ORDER BY n DESC, date LIMIT 50)"""
 )
 def anomalies_by_date(b: Bound):
-    out = an.anomalies_by_date(b.anomalies_wide)
+    out = an.anomalies_by_date(b.anomalies_wide_kept)
     return out.withColumn("affected_articles", F.array_join("affected_articles", ","))
 
 
@@ -182,7 +183,7 @@ def holiday_effects(b: Bound):
     JOIN x_st_dec d ON d.forecast_date = h.holiday_date WHERE h.is_major AND d.fold_name = 'fold_2' AND d.ad_unit = 'R'"""
 )
 def annotate_holidays(b: Bound):
-    return rounded(dec.annotate_holidays(b.decomposition, b.holidays, "R", "fold_2"), 4, "holiday_effect")
+    return rounded(dec.annotate_holidays(settle(b.decomposition), b.holidays, "R", "fold_2"), 4, "holiday_effect")
 
 
 @case(
@@ -203,7 +204,7 @@ def check_hypotheses(b: Bound):
     string_agg(ad_unit, ',' ORDER BY ad_unit) AS articles FROM x_sw_fit WHERE fold_name = 'fold_2' GROUP BY p, d, has_drift"""
 )
 def order_summary(b: Bound):
-    return dec.order_summary(_evaluated_wide(b)).withColumn("articles", F.array_join("articles", ","))
+    return dec.order_summary(settle(_evaluated_wide(b))).withColumn("articles", F.array_join("articles", ","))
 
 
 def _evaluated_wide(b: Bound):
@@ -293,7 +294,7 @@ def get_decomposition(b: Bound):
     WHERE fold_name = 'fold_1' AND forecast_date <= (SELECT min(forecast_date) FROM x_zero WHERE fold_name = 'fold_1') + 30"""
 )
 def clip_horizon(b: Bound):
-    rows = b.forecasts.where((F.col("fold_name") == "fold_1") & (F.col("model_name") == ZERO_SHOT))
+    rows = settle(b.forecasts).where((F.col("fold_name") == "fold_1") & (F.col("model_name") == ZERO_SHOT))
     kept = sv.clip_horizon(rows, 30).select("forecast_date", "ad_unit", "fold_name", "forecast_value")
     return rounded(kept, 4, "forecast_value")
 

@@ -439,6 +439,6 @@ def summarize_checks(b: Bound):
 
 
 def _premodel(b: Bound):
-    checks = quality.premodel_checks(b.daily_wide, b.holidays, START, END, 92)
+    checks = quality.premodel_checks(b.daily_wide_kept, b.holidays, START, END, 92)
     span = quality.check_holiday_span(b.holidays, START, FOLDS[1].test_end, 92).select("check", "status")
     return checks.where(F.col("check") != "holiday_span").unionByName(span)

@@ -72,7 +72,10 @@ def explore_top(anomalies: DataFrame, n: int = 100) -> DataFrame:
 def anomalies_by_date(
     anomalies: DataFrame, at_least: int = 3, n: int = 50, page_size: int = PAGE_SIZE
 ) -> DataFrame:
-    """The ``n`` dates on which most series were flagged, with those series, surest first."""
+    """The ``n`` dates on which most series were flagged, with those series, surest first.
+
+    Reads ``anomalies`` twice: pass a stored table.
+    """
     hits = anomalies.where("is_anomaly")
     dates = (
         hits.groupBy("date")

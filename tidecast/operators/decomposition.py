@@ -68,11 +68,9 @@ def holiday_effects(decomposition: DataFrame, unit: str, fold: str) -> DataFrame
 def annotate_holidays(decomposition: DataFrame, holidays: DataFrame, unit: str, fold: str) -> DataFrame:
     """Major holidays within one decomposition and their effect there (NULL where it is zero)."""
     own = decomposition.where((F.col("ad_unit") == unit) & (F.col("fold_name") == fold))
-    span = own.agg(F.min("forecast_date").alias("first"), F.max("forecast_date").alias("last"))
-    shown = holidays.where(
-        F.col("is_major")
-        & F.col("holiday_date").between(span.select("first").scalar(), span.select("last").scalar())
-    )
+    bounds = F.struct(F.min("forecast_date").alias("first"), F.max("forecast_date").alias("last"))
+    span = own.agg(bounds.alias("span")).scalar()
+    shown = holidays.where(F.col("is_major") & F.col("holiday_date").between(span["first"], span["last"]))
     effects = holiday_effects(decomposition, unit, fold).withColumnRenamed("date", "holiday_date")
     return shown.join(effects, "holiday_date", "left").select("holiday_date", "holiday_name", "holiday_effect")
 
@@ -111,7 +109,10 @@ def check_hypotheses(stats: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 
 def order_summary(evaluated: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Series grouped by fitted order, with their names and the spread of AIC."""
+    """Series grouped by fitted order, with their names and the spread of AIC.
+
+    Reads ``evaluated`` twice: pass a stored table.
+    """
     by = ["arima_order", "differencing_order", "has_drift"]
     rows = evaluated.withColumnRenamed("non_seasonal_d", "differencing_order")
     groups = rows.groupBy(*by).agg(
