@@ -23,8 +23,10 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
-    reader = spark.read.schema(SCHEMAS[name]) if name else spark.read
-    return reader.parquet(path)
+    """A stored table; with ``name``, under its declared schema and in its column order."""
+    if name is None:
+        return spark.read.parquet(path)
+    return spark.read.schema(SCHEMAS[name]).parquet(path).select(*SCHEMAS[name].names)
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
