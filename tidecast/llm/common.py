@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidecast.sources.workspace import settle
 
-__all__ = ["fold", "packed_rows", "read", "settle", "text_of", "unpacked_rows"]
+__all__ = ["extended", "fold", "packed_rows", "read", "settle", "text_of", "unpacked_rows"]
 
 ROW = "_row"
 
@@ -33,3 +34,8 @@ def packed_rows(df: DataFrame) -> DataFrame:
 
 def unpacked_rows(df: DataFrame) -> DataFrame:
     return df.select(f"{ROW}.*")
+
+
+def extended(df: DataFrame, columns: str) -> T.StructType:
+    """The schema of ``df`` with columns added, given as in "name type, ..."."""
+    return T.StructType(df.schema.fields + T.StructType.fromDDL(columns).fields)

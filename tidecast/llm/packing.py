@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import settle
+from tidecast.llm.common import extended, settle
 
 CAPACITY = 2048
 OPEN_BINS = 512
@@ -173,7 +173,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
             )
 
     mixed = F.xxhash64("doc_id", "piece", "ids_crc32")
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = extended(pieces, "sequence_id long, offset long")
     return pieces.repartition(tasks, mixed).sortWithinPartitions(mixed, "doc_id", "piece").mapInArrow(work, schema)
 
 

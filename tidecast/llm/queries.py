@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import read
+from tidecast.llm import language_id, quality
+from tidecast.llm.common import fold, read
 from tidecast.llm.exact_dedup import duplicate_groups
 from tidecast.llm.packing import pack_documents
 
@@ -36,6 +37,24 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), word_tokenizer_path())
 
 
+@query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = read(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), ~out)
+    scored = quality.score(docs.select("doc_id", out.alias("held_out"), "text"), model)
+    return scored.select(
+        "doc_id",
+        "held_out",
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= quality.CUT).cast("int").alias("predicted"),
+    )
+
+
 @query("""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256
