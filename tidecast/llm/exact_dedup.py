@@ -95,7 +95,8 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: st
     bits = _bits_for(rows.count())
     possible = may_repeat("sha", repeated_bitmap(rows, "sha", bits), bits)
     candidates = rows.filter(possible)
-    shared = candidates.join(_keepers(candidates), "sha").select(
+    keepers = settle(_keepers(candidates))  # as a table of its own, so that the join can split or broadcast it
+    shared = candidates.join(keepers, "sha").select(
         "id",
         "keep_id",
         "group_size",
