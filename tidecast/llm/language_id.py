@@ -8,8 +8,8 @@ predicting costs one lookup per gram. A temperature, fitted on documents kept ou
 calibrates the probabilities, and the same documents set the least probability at which a prediction
 is not rejected.
 
-Training uses at most ``MAX_TRAINING_ROWS`` labelled documents (those with the smallest hash of their
-text), each as the counts of its hashed grams over its whole text, made on the executors. The model
+Training uses at most ``MAX_TRAINING_ROWS`` labelled documents (those with the smallest hash of id
+and text), each as the counts of its hashed grams over its whole text, made on the executors. The model
 (``buckets`` x languages, under 1 MB for four) goes to the tasks that predict whole texts one by one.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without any labelled row
@@ -95,12 +95,14 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _labelled_grams(docs: DataFrame, label: str, text: str, trainable: Column, limit: int, buckets: int) -> DataFrame:
+def _labelled_grams(docs: DataFrame, label: str, text: str, id_column: str, trainable: Column, limit: int, buckets: int) -> DataFrame:
     """label, and the hashed grams of the text with their counts."""
+    able = docs.filter(trainable & F.col(label).isNotNull() & F.col(text).isNotNull())
+    mark = F.xxhash64(F.col(id_column), F.col(text), F.lit(7))
+    last = able.select(mark.alias("mark")).orderBy("mark").limit(limit).agg(F.max("mark").alias("last"))
     chosen = (
-        docs.filter(trainable & F.col(label).isNotNull() & F.col(text).isNotNull())
+        able.filter(mark <= last.scalar())  # hashes are ordered first, so that texts beyond the sample stay where they are
         .select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
-        .orderBy(F.xxhash64("text", F.lit(7)), "label")
         .limit(limit)
     )
 
@@ -116,9 +118,9 @@ def _labelled_grams(docs: DataFrame, label: str, text: str, trainable: Column, l
     return chosen.mapInArrow(work, "label string, at array<int>, n array<long>")
 
 
-def fit(docs: DataFrame, trainable: Column, label: str = "lang", text: str = "text", limit: int = MAX_TRAINING_ROWS, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, seed: int = 11) -> Model:
+def fit(docs: DataFrame, trainable: Column, label: str = "lang", text: str = "text", id_column: str = "doc_id", limit: int = MAX_TRAINING_ROWS, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, seed: int = 11) -> Model:
     """Train on the labelled rows that ``trainable`` admits."""
-    rows = _labelled_grams(docs, label, text, trainable, limit, buckets).toArrow()
+    rows = _labelled_grams(docs, label, text, id_column, trainable, limit, buckets).toArrow()
     labels, at, n = rows.column("label").to_pylist(), rows.column("at").to_pylist(), rows.column("n").to_pylist()
     keep = [k for k in range(len(labels)) if len(at[k])]
     languages = sorted({labels[k] for k in keep})
@@ -173,6 +175,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, id_column: str = "doc_id") -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected; learned from the rows outside the held-out fold."""
     out = fold(id_column, folds) == held_out
-    model = fit(docs, ~out)
+    model = fit(docs, ~out, id_column=id_column)
     inputs = docs.select(F.col(id_column), out.alias("held_out"), "text")
     return predict(inputs, model).drop("text")

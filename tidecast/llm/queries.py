@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import language_id, quality
+from tidecast.llm import language_id, quality, secret_scan, url_rules
 from tidecast.llm.common import fold, read
 from tidecast.llm.exact_dedup import duplicate_groups
 from tidecast.llm.packing import pack_documents
@@ -37,6 +37,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), word_tokenizer_path())
 
 
+#: The host and path rules that every URL is judged by before mined rules: (verdict, host/path).
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+@query()
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, bad = read(spark, sf_dir, "pages"), (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labelled = url_rules.labels_by_number(pages, read(spark, sf_dir, "labels"), F.coalesce(bad, F.lit(False)))
+    return url_rules.judge(pages, labelled, URL_RULES)
+
+
 @query()
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
@@ -55,6 +72,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(read(spark, sf_dir, "documents"))
+
+
 @query("""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256
