@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import language_id, quality, secret_scan, url_rules
+from tidecast.llm import html_extract, language_id, quality, secret_scan, simhash, url_rules
 from tidecast.llm.common import fold, read
 from tidecast.llm.exact_dedup import duplicate_groups
 from tidecast.llm.packing import pack_documents
@@ -54,6 +54,13 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, labelled, URL_RULES)
 
 
+@query()
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_groups(read(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), simhash.hex_of(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
 @query()
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
@@ -93,3 +100,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(read(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")
     )
+
+
+@query()
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    labelled = html_extract.labelled_by_number(pages, read(spark, sf_dir, "documents"))
+    return html_extract.extract(pages.select("page_id", "url", "html"), html_extract.fit(labelled))
