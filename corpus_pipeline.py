@@ -5,23 +5,46 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidecast.llm.common import read
+from tidecast.llm import decontamination, quality, simhash
+from tidecast.llm.common import fold, read
 from tidecast.llm.exact_dedup import drop_exact_duplicates
 from tidecast.llm.packing import pack_documents
 from tidecast.llm.queries import word_tokenizer_path
 from tidecast.sources.workspace import checkpoint_dir
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold; labels of the held-out fold stay unseen, as in the query."""
+    labels = read(spark, sf_dir, "labels")
+    return quality.keep_good(docs, quality.fit(docs, labels, fold("doc_id", 5) != F.lit(0)))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_duplicates(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece, with its sequence and place there."""
     return pack_documents(docs, word_tokenizer_path())
 
 
-STAGES = [("exact_dedup", exact_dedup), ("best_fit_packing", packing)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: Models, edit distances and packing cannot be stated in SQL.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import html_extract, language_id, quality, secret_scan, simhash, url_rules
+from tidecast.llm import decontamination, html_extract, language_id, quality, secret_scan, simhash, url_rules
 from tidecast.llm.common import fold, read
 from tidecast.llm.exact_dedup import duplicate_groups
 from tidecast.llm.packing import pack_documents
@@ -84,6 +84,11 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(read(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256
