@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import decontamination, html_extract, language_id, quality, secret_scan, simhash, url_rules
+from tidecast.llm import decontamination, html_extract, language_id, quality, secret_scan, simhash, suffix_dedup, url_rules
 from tidecast.llm.common import fold, read
 from tidecast.llm.exact_dedup import duplicate_groups
 from tidecast.llm.packing import pack_documents
@@ -61,6 +61,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_bytes")
+
+
 @query()
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
