@@ -30,16 +30,15 @@ def fill_gaps(df: DataFrame, start, end, columns=VOLUMES) -> DataFrame:
     bounds the window. On filled rows the columns other than date, series and volumes are NULL.
     """
     inside = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    w = Window.partitionBy("ad_unit", inside).orderBy("date")
+    w = Window.partitionBy("ad_unit", "inside").orderBy("date")
     behind = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
     main = columns[0]
-    looked = df.select(
+    looked = df.withColumn("inside", inside).select(
         "*",
-        inside.alias("inside"),
         F.lead("date").over(w).alias("next_date"),
         *[F.last(c, ignorenulls=True).over(behind).alias(f"prev_{c}") for c in columns],
-        *[F.first(c, ignorenulls=True).over(ahead).alias(f"next_{c}") for c in columns],
+        # A frame that ends with the partition would be read anew for every row; this is one pass.
+        *[F.expr(f"lead({c}) IGNORE NULLS OVER (PARTITION BY ad_unit, inside ORDER BY date)").alias(f"next_{c}") for c in columns],
     )
     interior = (
         F.col("inside")
