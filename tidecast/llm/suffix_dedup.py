@@ -328,7 +328,8 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(doc_id, h, ranges) of the documents with repeated bytes; ``docs`` has doc_id, h (hash of the text) and text."""
     found = settle(docs.select("doc_id", "h", "text").mapInArrow(_find_anchors(length), _ANCHORS))
-    twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    # Stored, so that the join below has plain exchanges on both sides and a gram with many anchors is split over tasks.
+    twice = settle(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
     shared = settle(found.join(twice, "gram"))
     where = F.struct("doc_id", "h", "place", "first", "last")
     distinct = settle(shared.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("at")))
