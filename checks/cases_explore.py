@@ -212,17 +212,14 @@ def month_yoy(b: Bound):
     return rounded(explore.month_yoy(b.daily, 1997, 1999), 4, "avg_first", "avg_second")
 
 
-# Search terms: event types in upper case with a space are the terms, props-free names the units.
-
-
 @case(
-    """SELECT ad_unit, bool_or(term IS NOT NULL) AS found FROM (SELECT DISTINCT p_type AS ad_unit FROM part) u LEFT JOIN
-    (SELECT DISTINCT upper(p_type) AS term FROM part WHERE p_size <= 25) t ON lower(u.ad_unit) = lower(t.term)
+    """SELECT ad_unit, bool_or(term IS NOT NULL) AS found FROM (SELECT p_type AS ad_unit FROM part UNION SELECT c_mktsegment FROM customer) u LEFT JOIN
+    (SELECT DISTINCT upper(p_type) AS term FROM part) t ON lower(u.ad_unit) = lower(t.term)
     OR lower(replace(u.ad_unit, '_', ' ')) = lower(t.term) GROUP BY ad_unit"""
 )
 def match_terms(b: Bound):
-    units = b.table("part").select(F.col("p_type").alias("ad_unit"))
-    terms = b.table("part").where(F.col("p_size") <= 25).select(F.upper("p_type").alias("term"))
+    units = b.table("part").select(F.col("p_type").alias("ad_unit")).unionByName(b.table("customer").select(F.col("c_mktsegment").alias("ad_unit")))
+    terms = b.table("part").select(F.upper("p_type").alias("term"))
     return explore.match_terms(units, terms)
 
 

@@ -48,13 +48,13 @@ def explore_top_anomalies(b: Bound):
 
 
 @case(
-    f"""SELECT date, n AS articles_affected, {r('p', 4)} AS avg_probability, 0::BIGINT AS page, names AS affected_articles FROM (
-    SELECT date, count(*) AS n, avg(anomaly_probability) AS p, string_agg(ad_unit, ',' ORDER BY anomaly_probability DESC, ad_unit, fold_name) AS names
-    FROM x_sw_anom WHERE is_anomaly GROUP BY date HAVING count(*) >= 3 ORDER BY n DESC, date LIMIT 50)"""
+    f"""SELECT t.date, n AS articles_affected, {r('p', 4)} AS avg_probability, x.ad_unit AS affected_article, x.fold_name,
+    {r('x.anomaly_probability', 6)} AS probability FROM (SELECT date, count(*) AS n, avg(anomaly_probability) AS p
+    FROM x_sw_anom WHERE is_anomaly GROUP BY date HAVING count(*) >= 3 ORDER BY n DESC, date LIMIT 50) t
+    JOIN x_sw_anom x ON x.date = t.date AND x.is_anomaly"""
 )
 def anomalies_by_date(b: Bound):
-    out = an.anomalies_by_date(b.anomalies_wide_kept)
-    return out.withColumn("affected_articles", F.array_join("affected_articles", ","))
+    return rounded(an.anomalies_by_date(b.anomalies_wide_kept), 6, "probability")
 
 
 @case(
@@ -199,12 +199,14 @@ def check_hypotheses(b: Bound):
 
 
 @case(
-    f"""SELECT 'ARIMA(' || p || ',' || d || ',0)' AS arima_order, d AS differencing_order, has_drift, count(*) AS article_count,
-    {r('avg(aic)', 2)} AS avg_aic, {r('min(aic)', 2)} AS min_aic, {r('max(aic)', 2)} AS max_aic, 0::BIGINT AS page,
-    string_agg(ad_unit, ',' ORDER BY ad_unit) AS articles FROM x_sw_fit WHERE fold_name = 'fold_2' GROUP BY p, d, has_drift"""
+    f"""SELECT 'ARIMA(' || f.p || ',' || f.d || ',0)' AS arima_order, f.d AS differencing_order, f.has_drift, article_count, avg_aic, min_aic,
+    max_aic, ad_unit AS article, {r('aic', 2)} AS aic FROM x_sw_fit f JOIN (SELECT p, d, has_drift, count(*) AS article_count,
+    {r('avg(aic)', 2)} AS avg_aic, {r('min(aic)', 2)} AS min_aic, {r('max(aic)', 2)} AS max_aic FROM x_sw_fit
+    WHERE fold_name = 'fold_2' GROUP BY p, d, has_drift) g ON g.p = f.p AND g.d = f.d AND g.has_drift IS NOT DISTINCT FROM f.has_drift
+    WHERE fold_name = 'fold_2'"""
 )
 def order_summary(b: Bound):
-    return dec.order_summary(settle(_evaluated_wide(b))).withColumn("articles", F.array_join("articles", ","))
+    return dec.order_summary(settle(_evaluated_wide(b)))
 
 
 def _evaluated_wide(b: Bound):

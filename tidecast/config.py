@@ -7,7 +7,6 @@ from datetime import date, timedelta
 
 # --- Fixed values: they must equal the published ones for the results to match ---
 HORIZON = 92
-DISPLAY_HORIZONS = (30, 60, 90)
 CONFIDENCE_LEVEL = 0.95
 ANOMALY_PROBABILITY = 0.95
 METRICS = ("mape", "rmse", "mae", "mase", "coverage")
@@ -42,8 +41,6 @@ REGRESSOR = "structural_xreg"
 MODELS = (ZERO_SHOT, STRUCTURAL, REGRESSOR)
 CROSS_FOLD = "cross_fold_avg"
 DETAIL_FOLD = "fold_2"
-# Calendar lookups start here; series older than this are outside the data model.
-CALENDAR_START = "1900-01-01"
 
 
 @dataclass(frozen=True)

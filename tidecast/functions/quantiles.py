@@ -2,7 +2,8 @@
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer, and a ranking
 window sorts the whole group in one task. Here a bounded sketch first brackets each quantile;
-then counting places the bracket, and only the values inside it are ordered.
+then counting places the bracket, and only the values inside it, with the nearest one on each
+side, are ordered. A rank outside the bracket would be an error, not a NULL.
 """
 
 from __future__ import annotations
@@ -13,15 +14,12 @@ from pyspark.sql import functions as F
 # The sketch's rank error is 1/ACCURACY of the group; the bracket is five times as wide.
 ACCURACY = 10_000
 MARGIN = 5.0 / ACCURACY
-# Groups up to this size are ordered whole: their bracket is the full range.
-SMALL_GROUP = 100_000
 
 
 def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by: list[str]) -> DataFrame:
     """Linearly interpolated quantiles, one row per group: ``by``, ``n`` and one column per name.
 
-    Groups must be few (models, folds, metrics), since their brackets are broadcast; no group
-    columns means one quantile over all rows.
+    One path at every group size. No group columns means one quantile over all rows.
     """
     present = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
     marks = [
@@ -36,44 +34,45 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by:
     summary = present.groupBy(*by).agg(
         F.struct(
             F.count(F.lit(1)).alias("n"),
-            F.min("v").alias("v_min"),
-            F.max("v").alias("v_max"),
             F.array(*marks).alias("marks"),
         ).alias("b")
     )
     counts = present.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
     if by:
-        bracketed = counts.join(F.broadcast(summary), by)
+        bracketed = counts.join(summary, by)
     else:
         bracketed = counts.withColumn("b", summary.scalar())
-    small = F.col("b.n") <= SMALL_GROUP
     placed = bracketed.select(*by, "v", "c", "b", F.explode("b.marks").alias("m")).select(
         *by,
         "v",
         "c",
         F.col("b.n").alias("n"),
         "m.name",
-        F.when(small, F.col("b.v_min")).otherwise(F.col("m.low")).alias("low"),
-        F.when(small, F.col("b.v_max")).otherwise(F.col("m.high")).alias("high"),
+        "m.low",
+        "m.high",
         (F.col("m.q") * (F.col("b.n") - 1)).alias("position"),
     )
     group = [*by, "name"]
-    below = placed.groupBy(*group).agg(
-        F.coalesce(F.sum(F.when(F.col("v") < F.col("low"), F.col("c"))), F.lit(0)).alias("below")
+    lower, higher = F.col("v") < F.col("low"), F.col("v") > F.col("high")
+    sides = placed.groupBy(*group).agg(
+        F.sum(F.when(lower, F.col("c")).otherwise(F.lit(0))).alias("below"),
+        F.max(F.when(lower, F.struct("v", "c"))).alias("under"),
+        F.min(F.when(higher, F.col("v"))).alias("over"),
     )
-    inside = placed.where(F.col("v").between(F.col("low"), F.col("high"))).withColumn(
+    reach = F.col("v").between(F.coalesce("under.v", "low"), F.coalesce("over", "high"))
+    inside = placed.join(sides, group).where(reach).withColumn(
         "through", F.sum("c").over(Window.partitionBy(*group).orderBy("v"))
     )
-    # A value covers the zero-based ranks [below + through - c, below + through).
-    last = F.col("below") + F.col("through")
+    # A value covers the zero-based ranks [last - c, last).
+    last = F.col("below") - F.coalesce("under.c", F.lit(0)) + F.col("through")
 
     def at(rank):
-        return F.max(F.when((rank >= last - F.col("c")) & (rank < last), F.col("v")))
+        found = F.max(F.when((rank >= last - F.col("c")) & (rank < last), F.col("v")))
+        return F.coalesce(found, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
 
     position = F.col("position")
     picked = (
-        inside.join(F.broadcast(below), group)
-        .groupBy(*group)
+        inside.groupBy(*group)
         .agg(
             F.first("n").alias("n"),
             F.first("position").alias("position"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidecast.config import ANOMALY_PROBABILITY
 from tidecast.functions import scalars as fn
-from tidecast.operators.paging import PAGE_SIZE, paged_names
 
 POINT = [
     "date",
@@ -69,10 +68,8 @@ def explore_top(anomalies: DataFrame, n: int = 100) -> DataFrame:
     return top.orderBy(*order).limit(n).drop("anomaly_probability")
 
 
-def anomalies_by_date(
-    anomalies: DataFrame, at_least: int = 3, n: int = 50, page_size: int = PAGE_SIZE
-) -> DataFrame:
-    """The ``n`` dates on which most series were flagged, with those series, surest first.
+def anomalies_by_date(anomalies: DataFrame, at_least: int = 3, n: int = 50) -> DataFrame:
+    """The ``n`` dates on which most series were flagged: one row per flagged series and date.
 
     Reads ``anomalies`` twice: pass a stored table.
     """
@@ -87,14 +84,13 @@ def anomalies_by_date(
         .orderBy(F.desc("articles_affected"), "date")
         .limit(n)
     )
-    entry = F.struct((-F.col("anomaly_probability")).alias("rank"), "ad_unit", "fold_name")
-    listed = paged_names(hits, dates, ["date"], "articles_affected", entry, "ranked", page_size)
-    return listed.select(
+    return hits.join(dates, "date").select(
         "date",
         "articles_affected",
         "avg_probability",
-        "page",
-        F.transform("ranked", lambda x: x["ad_unit"]).alias("affected_articles"),
+        F.col("ad_unit").alias("affected_article"),
+        "fold_name",
+        F.col("anomaly_probability").alias("probability"),
     )
 
 

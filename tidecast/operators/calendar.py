@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecast.config import CALENDAR_START
 from tidecast.functions import scalars as fn
 
 CALENDAR = ("day_of_week", "is_weekend", "quarter", "week_of_year")
@@ -27,37 +26,43 @@ def full_grid(df: DataFrame, start, end, unit: str = "ad_unit") -> DataFrame:
     return df.select(unit).distinct().select(_days(start, end), unit)
 
 
-def holiday_lookup(holidays: DataFrame, since: str = CALENDAR_START) -> DataFrame:
-    """``date, holiday_name, next_holiday`` for each day from ``since`` to the last holiday.
+def holiday_lookup(holidays: DataFrame) -> DataFrame:
+    """``date, next_holiday, names`` for each day from the first holiday to the last; ``names`` on holidays only.
 
     Turns "first holiday on or after a date" from a range join into a lookup by date. Each holiday
-    covers the days after the one before it. The table has one row per calendar day (about 46 000
-    for 1900-2025), whatever the size of the data, so it is safe to broadcast.
+    covers the days after the one before it. One row per calendar day, whatever the size of the data.
     """
     before = F.lag("holiday_date").over(Window.orderBy("holiday_date"))
-    first = F.coalesce(F.date_add(before, 1), F.lit(since).cast("date"))
-    return (
-        holidays.select("holiday_date", "holiday_name", first.alias("first"))
-        .where(F.col("first") <= F.col("holiday_date"))
-        .select(
-            F.explode(F.sequence("first", "holiday_date")).alias("date"),
-            F.col("holiday_date").alias("next_holiday"),
-            "holiday_name",
-        )
-        .select(
-            "date",
-            "next_holiday",
-            F.when(F.col("date") == F.col("next_holiday"), F.col("holiday_name")).alias("holiday_name"),
-        )
+    dates = (
+        holidays.where(F.col("holiday_date").isNotNull())
+        .groupBy("holiday_date")
+        .agg(F.collect_list(F.struct("holiday_name")).alias("names"))
     )
+    covered = F.sequence(F.coalesce(F.date_add(before, 1), F.col("holiday_date")), F.col("holiday_date"))
+    return dates.select("holiday_date", "names", covered.alias("covered")).select(
+        F.explode("covered").alias("date"), F.col("holiday_date").alias("next_holiday"), "names"
+    ).withColumn("names", F.when(F.col("date") == F.col("next_holiday"), F.col("names")))
 
 
 def next_holiday(dates: DataFrame, holidays: DataFrame, date_col: str = "date") -> DataFrame:
     """Adds ``next_holiday`` and ``days_to_next_holiday``; NULL after the last holiday."""
     lookup = holiday_lookup(holidays).select(F.col("date").alias(date_col), "next_holiday")
-    return dates.join(F.broadcast(lookup), date_col, "left").withColumn(
-        "days_to_next_holiday", fn.days_between(F.col("next_holiday"), F.col(date_col))
+    found = dates.join(lookup, date_col, "left").withColumn(
+        "next_holiday", F.coalesce("next_holiday", _first_holiday(holidays, date_col))
     )
+    return found.withColumn("days_to_next_holiday", fn.days_between(F.col("next_holiday"), F.col(date_col)))
+
+
+def _first_holiday(holidays: DataFrame, date_col: str):
+    """The first holiday for days before it, which the lookup does not list."""
+    first = holidays.agg(F.min("holiday_date")).scalar()
+    return F.when(F.col(date_col) < first, first)
+
+
+def one_per_date(holidays: DataFrame) -> DataFrame:
+    """``holiday_date, holiday_name``: the names of a date joined, for models with one row per day."""
+    names = F.array_join(F.array_sort(F.collect_set("holiday_name")), " + ")
+    return holidays.groupBy("holiday_date").agg(names.alias("holiday_name"))
 
 
 def with_calendar(df: DataFrame, date_col: str = "date") -> DataFrame:
@@ -73,12 +78,17 @@ def with_calendar(df: DataFrame, date_col: str = "date") -> DataFrame:
 
 
 def with_holidays(df: DataFrame, holidays: DataFrame) -> DataFrame:
-    """Holiday flag, name and days to the next one, by a single broadcast lookup."""
-    joined = df.join(F.broadcast(holiday_lookup(holidays)), "date", "left")
-    days = fn.days_between(F.col("next_holiday"), F.col("date"))
-    return joined.withColumns(
-        {"is_holiday": F.coalesce(days == 0, F.lit(False)), "days_to_next_holiday": days}
-    ).drop("next_holiday")
+    """Holiday flag, name and days to the next one, by a single lookup.
+
+    A date with two holidays gives two rows, one per name.
+    """
+    joined = df.join(holiday_lookup(holidays), "date", "left")
+    following = F.coalesce("next_holiday", _first_holiday(holidays, "date"))
+    days = fn.days_between(following, F.col("date"))
+    named = joined.select(*[F.col(c) for c in df.columns], days.alias("days_to_next_holiday"), F.explode_outer("names").alias("named"))
+    return named.withColumns(
+        {"is_holiday": F.coalesce(F.col("days_to_next_holiday") == 0, F.lit(False)), "holiday_name": F.col("named.holiday_name")}
+    ).drop("named")
 
 
 def with_features(df: DataFrame, holidays: DataFrame) -> DataFrame:

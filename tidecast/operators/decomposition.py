@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.config import WEEKEND_DIP, WEEKEND_DIP_STRONG, WEEKLY_SWING, YEARLY_SWING
 from tidecast.functions import scalars as fn
-from tidecast.operators.paging import PAGE_SIZE, paged_names
 
 
 def decomposition_stats(decomposition: DataFrame, fold: str) -> DataFrame:
@@ -108,8 +109,8 @@ def check_hypotheses(stats: DataFrame, rules: dict[str, str]) -> DataFrame:
 # ---- fitted orders ------------------------------------------------------------------------------
 
 
-def order_summary(evaluated: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Series grouped by fitted order, with their names and the spread of AIC.
+def order_summary(evaluated: DataFrame) -> DataFrame:
+    """One row per series with its fitted order, and how many series have that order with which spread of AIC.
 
     Reads ``evaluated`` twice: pass a stored table.
     """
@@ -121,7 +122,12 @@ def order_summary(evaluated: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame
         F.round(F.min("aic"), 2).alias("min_aic"),
         F.round(F.max("aic"), 2).alias("max_aic"),
     )
-    return paged_names(rows.select(*by, "ad_unit"), groups, by, "article_count", F.col("ad_unit"), "articles", page_size)
+    # Every series has an order; only the drift flag may be absent.
+    own = groups.withColumnsRenamed({c: f"of_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by])
+    return rows.join(own, same).select(
+        *by, "article_count", "avg_aic", "min_aic", "max_aic", F.col("ad_unit").alias("article"), F.round("aic", 2).alias("aic")
+    )
 
 
 def step_change_units(evaluated: DataFrame) -> DataFrame:

@@ -30,18 +30,20 @@ def fill_gaps(df: DataFrame, start, end, columns=VOLUMES) -> DataFrame:
     bounds the window. On filled rows the columns other than date, series and volumes are NULL.
     """
     inside = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    w = Window.partitionBy("ad_unit", "inside").orderBy("date")
+    w = Window.partitionBy("ad_unit").orderBy("date")
     behind = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     main = columns[0]
-    looked = df.withColumn("inside", inside).select(
+    # What lies outside the range is blank, so the windows need no key beyond the series.
+    seen = {c: F.when(inside, F.col(c)).alias(f"in_{c}") for c in ("date", *columns)}
+    looked = df.select("*", *seen.values()).select(
         "*",
-        F.lead("date").over(w).alias("next_date"),
-        *[F.last(c, ignorenulls=True).over(behind).alias(f"prev_{c}") for c in columns],
+        F.lead("in_date").over(w).alias("next_date"),
+        *[F.last(f"in_{c}", ignorenulls=True).over(behind).alias(f"prev_{c}") for c in columns],
         # A frame that ends with the partition would be read anew for every row; this is one pass.
-        *[F.expr(f"lead({c}) IGNORE NULLS OVER (PARTITION BY ad_unit, inside ORDER BY date)").alias(f"next_{c}") for c in columns],
+        *[F.expr(f"lead(in_{c}) IGNORE NULLS OVER (PARTITION BY ad_unit ORDER BY date)").alias(f"next_{c}") for c in columns],
     )
     interior = (
-        F.col("inside")
+        F.col("in_date").isNotNull()
         & (F.datediff("next_date", "date") > 1)
         & F.col(f"prev_{main}").isNotNull()
         & F.col(f"next_{main}").isNotNull()

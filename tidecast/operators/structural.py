@@ -19,7 +19,7 @@ from tidecast.config import (
     STRUCTURAL,
 )
 from tidecast.functions import scalars as fn
-from tidecast.operators.calendar import with_holidays
+from tidecast.operators.calendar import one_per_date, with_holidays
 from tidecast.operators.seasonal import KEYS, forecast_rows
 
 SPIKE_REACH = 14
@@ -37,7 +37,7 @@ NOISE_FLOOR = 1e-9
 def decompose_history(train: DataFrame, holidays: DataFrame, keys=KEYS) -> DataFrame:
     """Each training day split into level, trend, seasons, holiday, spike and remainder ``e``."""
     rows = train.select(*keys, "date", F.col("daily_impressions").cast("double").alias("y"))
-    rows = with_holidays(rows, holidays).drop("is_holiday", "days_to_next_holiday")
+    rows = with_holidays(rows, one_per_date(holidays)).drop("is_holiday", "days_to_next_holiday")
     series = Window.partitionBy(*keys)
     in_time = series.orderBy("date")
 
@@ -82,29 +82,21 @@ def decompose_history(train: DataFrame, holidays: DataFrame, keys=KEYS) -> DataF
 def _clean_spikes(rows: DataFrame, keys) -> DataFrame:
     """Clamp each day to three deviations around its 28 neighbours, itself left out.
 
-    A sum over neighbours is a difference of two running sums, so the work per row does not grow
-    with the reach.
+    Both halves of the neighbourhood are short frames of their own and are merged by their means
+    and squared deviations, so one huge day does not drown the variance of later ones.
     """
-    in_time = Window.partitionBy(*keys).orderBy("date")
-    so_far = in_time.rowsBetween(Window.unboundedPreceding, 0)
     y = F.col("y")
-    terms = {"k": (F.count(y), F.lit(1)), "s1": (F.sum(y), y), "s2": (F.sum(y * y), y * y)}
-    rows = rows.select("*", *[total.over(so_far).alias(name) for name, (total, _) in terms.items()])
-    rows = rows.select(
-        "*",
-        *[F.max_by(name, "date").over(Window.partitionBy(*keys)).alias(f"{name}_end") for name in terms],
-        *[F.lead(name, SPIKE_REACH).over(in_time).alias(f"{name}_ahead") for name in terms],
-        *[F.lag(name, SPIKE_REACH + 1, 0).over(in_time).alias(f"{name}_behind") for name in terms],
-    )
-    k, s1, s2 = (
-        F.coalesce(F.col(f"{name}_ahead"), F.col(f"{name}_end")) - F.col(f"{name}_behind") - own
-        for name, (_, own) in terms.items()
-    )
-    mean = fn.ratio(s1, k)
-    variance = fn.ratio(s2 - k * mean * mean, k - 1)
+    halves = {"b": (-SPIKE_REACH, -1), "a": (1, SPIKE_REACH)}
+    sides = {side: fn.over_rows(keys, "date", *span) for side, span in halves.items()}
+    terms = {"k": F.count(y), "m": F.avg(y), "v": F.var_pop(y)}
+    rows = rows.select("*", *[term.over(w).alias(f"{name}_{side}") for side, w in sides.items() for name, term in terms.items()])
+    (kb, mb, vb), (ka, ma, va) = ([F.coalesce(F.col(f"{name}_{side}"), F.lit(0.0)) for name in terms] for side in halves)
+    k = kb + ka
+    mean = fn.ratio(kb * mb + ka * ma, k)
+    variance = fn.ratio(kb * vb + ka * va + fn.ratio(kb * ka, k) * (mb - ma) * (mb - ma), k - 1)
     reach = SPIKE_WIDTH * F.sqrt(F.greatest(variance, F.lit(0.0)))
     clamped = F.least(F.greatest(y, mean - reach), mean + reach)
-    drop = [f"{name}{suffix}" for name in terms for suffix in ("", "_end", "_ahead", "_behind")]
+    drop = [f"{name}_{side}" for name in terms for side in halves]
     rows = rows.withColumn("cleaned", F.when(k >= MIN_NEIGHBOURS, clamped).otherwise(y)).drop(*drop)
     return rows.withColumn("spike", y - F.col("cleaned"))
 
@@ -125,8 +117,8 @@ def _remove_steps(rows: DataFrame, keys, in_time) -> DataFrame:
     before, after = F.col("before"), F.col("after")
     strength = F.round(F.greatest(after / before, before / after), 2)
     rows = rows.withColumn("strength", F.when((before > 0) & (after > 0), strength))
-    # Strength and earliness in one whole number, so equal strengths still have one winner.
-    score = F.round(F.least(F.col("strength"), F.lit(1e6)) * 100).cast("bigint") * 1_000_000 - F.col("t")
+    # Of equal strengths the earlier day wins.
+    score = F.struct(F.col("strength"), (-F.col("t")).alias("earliness"))
     rows = rows.withColumn("score", F.when(F.col("strength") >= STEP_RATIO, score))
     best = F.max("score").over(near)
     rows = rows.withColumn("step", F.when(F.col("score") == best, after - before).otherwise(F.lit(0.0)))
@@ -259,7 +251,7 @@ def explain_forecast(
     steps = params.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")).withColumn(
         "date", F.date_add("last_date", F.col("h"))
     )
-    steps = with_holidays(steps, holidays)
+    steps = with_holidays(steps, one_per_date(holidays))
     h, phi, mu = F.col("h").cast("double"), F.col("phi"), F.col("mu")
     decay = F.pow(phi, h)
     momentum = F.coalesce(F.col("last_de"), mu) - mu

@@ -60,28 +60,40 @@ def append_table(df: DataFrame, path: str, name: str | None = None, partitions:
     _write(conform(df, name) if name else df, keys, sort_by).mode("append").parquet(path)
 
 
-def replace_scope(df: DataFrame, path: str, keys: list[str], scope: Column) -> None:
+def replace_scope(df: DataFrame, path: str, keys: list[str], scope: Column, name: str | None = None) -> None:
     """Replace the partitions of a table that ``scope`` selects, and no other.
 
     ``keys`` are the partition columns and ``scope`` a condition on them alone. A partition in
-    scope without new rows is emptied: dynamic overwrite would keep its old rows. The new rows are
-    settled first, so ``df`` may be derived from the same table.
+    scope without new rows is emptied: dynamic overwrite would keep its old rows. Its folder is
+    taken from its files, never built from the value. The new rows are settled first, so ``df`` may
+    be derived from the same table. New rows come first and emptied partitions last; a run that
+    is cut off between the two is completed by running it again.
     """
     spark = df.sparkSession
+    _, sort_by = LAYOUT.get(name, ([], []))
     fresh = settle(df.where(scope))
-    stale = []
+    stale = None
     try:
-        # Partition values only: one row per partition in scope.
-        stored = spark.read.parquet(path).where(scope).select(*keys).distinct()
-        stale = stored.join(fresh.select(*keys).distinct(), keys, "left_anti").collect()
+        stored = spark.read.schema(df.schema).parquet(path).where(scope)
+        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]+$", "").alias("folder")
+        new = fresh.select(*[F.col(k).alias(f"new_{k}") for k in keys]).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"new_{k}")) for k in keys])
+        stale = settle(stored.select(*keys, folder).distinct().join(new, same, "left_anti").select("folder"))
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
-    _write(fresh, keys, []).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    rest = fresh.drop(*keys)
-    for row in stale:
-        folder = "/".join(f"{k}={row[k]}" for k in keys)
-        rest.where(F.lit(False)).write.mode("overwrite").parquet(f"{path}/{folder}")
+    _write(fresh, keys, sort_by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    if stale is not None:
+        # One metadata call per emptied partition; the names come one part at a time.
+        for row in stale.toLocalIterator():
+            _remove_folder(spark, row["folder"])
+
+
+def _remove_folder(spark: SparkSession, folder: str) -> None:
+    """``folder`` as Spark names it in file paths: an encoded URI."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ctas(df: DataFrame, table: str) -> DataFrame:
@@ -120,13 +132,18 @@ def date_filter(df: DataFrame, start=None, end=None, date_col: str = "date") ->
     return df.where(reduce(lambda a, b: a & b, bounds)) if bounds else df
 
 
-def spot_check(df: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
-    """``n`` random rows; a top-n by random key, so no task sorts the whole table."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def spot_check(df: DataFrame, keys: list[str], n: int = 10, seed: int = 0) -> DataFrame:
+    """``n`` random rows; a top-n by hashed key, so no task sorts the whole table.
+
+    The same seed gives the same rows however the table is partitioned.
+    """
+    named = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return df.orderBy(F.md5(named), *keys).limit(n)
 
 
-def sample_rows(df: DataFrame, condition: Column, n: int = 10) -> DataFrame:
-    return df.where(condition).limit(n)
+def sample_rows(df: DataFrame, condition: Column, order: list[str], n: int = 10) -> DataFrame:
+    """The first ``n`` rows that meet a condition."""
+    return df.where(condition).orderBy(*order).limit(n)
 
 
 def profile_table(df: DataFrame) -> DataFrame:
