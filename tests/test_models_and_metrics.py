@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tests.frames import daily, day, fold, forecast_frame
 from tidecast.config import REGRESSOR, STRUCTURAL, ZERO_SHOT
 from tidecast.functions.quantiles import exact_quantiles
-from tidecast.functions import quantiles
 from tidecast.functions.scalars import two_sided_probability
 from tidecast.operators import metrics as m
 from tidecast.operators import structural
@@ -67,9 +66,7 @@ def test_even_count_median(spark):
 
 
 @pytest.mark.parametrize("by", [["g"], []])
-def test_quantiles_of_large_skewed_groups(spark, monkeypatch, by):
-    """Exact beyond the size at which a group is ordered whole."""
-    monkeypatch.setattr(quantiles, "SMALL_GROUP", 100)
+def test_quantiles_of_skewed_groups(spark, by):
     df = spark.range(60_000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 2)).alias("g"),
         F.pmod(F.hash("id"), F.lit(5000)).cast("double").alias("v"),

@@ -9,7 +9,6 @@ from tidecast.operators import decomposition as dec
 from tidecast.operators import events as ev
 from tidecast.operators import explore
 from tidecast.operators import serving as sv
-from tidecast.operators.paging import paged_names
 from tidecast.sources import registry
 
 SF = "/root/testdata/sf0.001"
@@ -28,9 +27,10 @@ def test_query_equals_sql(spark, name):
 
 def test_every_query_reads_the_tables():
     import __spark_entry__ as contract
+    from checks.registry import ORACLES, QUERIES
 
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"spot_check_rows", "sample_holiday_rows"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 def points(spark, rows):
@@ -47,15 +47,18 @@ def test_anomaly_types_and_order(spark):
     assert [(r.anomaly_type, r.deviation_ratio) for r in got] == [("HIGH_SPIKE", 3.0), ("LOW_DIP", -2.0)]
 
 
-def test_large_groups_are_paged_and_whole(spark):
+def test_large_groups_are_whole_rows(spark):
     df = points(spark, [(0, f"u{i:04d}", 30, 0.95 + i * 1e-6) for i in range(500)] + [(1, u, 30, 0.99) for u in "abc"])
-    got = an.anomalies_by_date(df, page_size=50).collect()
-    hot = [r for r in got if r.date == day(0)]
-    assert len(hot) > 1 and all(r.articles_affected == 500 for r in hot)
-    names = [u for r in hot for u in r.affected_articles]
-    assert sorted(names) == [f"u{i:04d}" for i in range(500)]
-    for r in hot:  # surest first inside a page
-        assert r.affected_articles == sorted(r.affected_articles, reverse=True)
+    hot = an.anomalies_by_date(df).where(F.col("date") == day(0)).orderBy(F.desc("probability")).collect()
+    assert [r.affected_article for r in hot] == [f"u{i:04d}" for i in reversed(range(500))]
+    assert all(r.articles_affected == 500 for r in hot)
+
+
+def test_last_event_of_a_date_is_the_label(spark):
+    df = points(spark, [(0, "a", 30, 0.99)])
+    events = ev.event_table(spark, {"a": [(str(day(0)), "first", "Seasonal"), (str(day(0)), "second", "Seasonal")]})
+    assert [r.label for r in ev.annotate_anomalies(df, events).collect()] == ["second"]
+    assert ev.label_events(df, events, ev.guidance_table(spark)).count() == 2
     assert [r.affected_articles for r in got if r.date == day(1)] == [["a", "b", "c"]]
 
 

@@ -114,6 +114,17 @@ def test_replace_scope_clears_empty_partitions(spark, tmp_path):
     assert spark.read.schema(both.schema).parquet(path).count() == 2
 
 
+def test_replace_scope_of_keys_that_need_escapes(spark, tmp_path):
+    path = str(tmp_path / "odd")
+    odd = ["a:b", "x/y%=#?*'", None, "plain"]
+    rows = spark.createDataFrame([(k, n) for n, k in enumerate(odd)], "k string, v int")
+    tables.replace_scope(rows, path, ["k"], F.lit(True))
+    gone = F.col("k").isNull() | F.col("k").contains(":") | F.col("k").contains("/")
+    tables.replace_scope(rows.where(F.lit(False)), path, ["k"], gone)
+    got = spark.read.schema("k string, v int").parquet(path).select("k", "v").collect()
+    assert [tuple(r) for r in got] == [("plain", 3)]
+
+
 def test_replace_table_keeps_declared_layout(spark, tmp_path):
     path = str(tmp_path / "raw")
     raw = volumes(spark, {"A": [1, 2], "B": [3, 4]}).withColumn("wiki", F.lit("en"))
