@@ -50,7 +50,7 @@ EVENTS = {
 
 
 class Bound:
-    """Frames over one directory of test tables. All are lazy; nothing is kept between queries."""
+    """Frames over one directory of test tables. Those named ``*_kept`` run a job when first read; nothing is kept between queries."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.bindings import Bound
 from checks.registry import case, rounded
 from checks.sql_library import r
+from tidecast.functions.quantiles import exact_quantiles
 from tidecast.operators import explore
 
 
@@ -234,3 +235,12 @@ def term_coverage(b: Bound):
         F.col("views").alias("score"),
     )
     return rounded(explore.term_coverage(terms), 6, "avg_score")
+
+
+@case(
+    """SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.01), 4) AS low, round(quantile_cont(l_extendedprice, 0.5), 4) AS median,
+    round(quantile_cont(l_extendedprice, 0.999), 4) AS high FROM (SELECT l_returnflag, l_extendedprice::DOUBLE AS l_extendedprice FROM lineitem) GROUP BY l_returnflag"""
+)
+def quantiles_of_all_lines(b: Bound):
+    marks = {"low": 0.01, "median": 0.5, "high": 0.999}
+    return rounded(exact_quantiles(b.table("lineitem"), "l_extendedprice", marks, ["l_returnflag"]), 4, *marks)
