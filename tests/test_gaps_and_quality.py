@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.frames import daily, day, volumes
 from tidecast.operators import gaps, quality
+from tidecast.operators.calendar import next_holiday, with_holidays
 from tidecast.plans.daily_load import complete_daily
 from tidecast.sources.holidays import holiday_dim
 
@@ -128,3 +129,18 @@ def test_premodel_distribution_flags(spark):
     got = {r.ad_unit: r for r in quality.premodel_distribution(df, day(0), day(3)).collect()}
     assert (got["zeros"].zero_pct, got["zeros"].flag_zeros, got["zeros"].low_traffic_days) == (50.0, True, 4)
     assert (got["short"].missing_pct, got["short"].flag_missing, got["short"].cv) == (75.0, True, None)
+
+
+def test_days_before_the_first_holiday_and_two_names_on_a_date(spark):
+    listed = [("1899-12-25", "Yule"), ("1900-01-01", "New Year"), ("1900-01-01", "Founding")]
+    hol = spark.createDataFrame(listed, "d string, holiday_name string").selectExpr("cast(d as date) holiday_date", "holiday_name")
+    days = spark.createDataFrame([("1899-12-20",), ("1899-12-25",), ("1900-01-01",), ("1900-01-02",)], "d string").selectExpr("cast(d as date) date")
+    got = sorted((str(r.date), r.is_holiday, r.holiday_name or "", r.days_to_next_holiday) for r in with_holidays(days, hol).collect())
+    assert got == [
+        ("1899-12-20", False, "", 5),
+        ("1899-12-25", True, "Yule", 0),
+        ("1900-01-01", True, "Founding", 0),
+        ("1900-01-01", True, "New Year", 0),
+        ("1900-01-02", False, "", None),
+    ]
+    assert sorted(r.days_to_next_holiday for r in next_holiday(days, hol).collect() if r.next_holiday) == [0, 0, 5]

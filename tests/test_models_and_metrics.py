@@ -242,3 +242,11 @@ def test_routing(spark, holidays):
         "c": ("event_driven", "event_driven", False), "d": ("event_driven", "event_driven", True),
         "e": (None, None, False),
     }
+
+
+def test_one_huge_day_leaves_later_days_alone(spark, holidays):
+    values = [10 + k % 3 for k in range(300)]
+    values[150] = 10**10
+    train = in_fold(daily(spark, {"A": values}, holidays), [fold(300, 14)], "train")
+    rows = structural.decompose_history(train, holidays).where("spike <> 0").collect()
+    assert [r.t for r in rows] == [150]
