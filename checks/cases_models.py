@@ -92,19 +92,19 @@ _PARTS = {
 }
 
 
-@case(
-    "SELECT forecast_date, ad_unit, fold_name, "
-    + ", ".join(f"{r(e, 4)} AS {c}" for c, e in _PARTS.items())
-    + " FROM x_st_dec"
-)
+_DECOMPOSED = "SELECT forecast_date, ad_unit, fold_name, " + ", ".join(f"{r(e, 4)} AS {c}" for c, e in _PARTS.items()) + " FROM x_st_dec"
+
+
+@case(_DECOMPOSED)
 def explain_forecast(b: Bound):
     return rounded(b.decomposition, 4, *_PARTS)
 
 
-@case(
-    f"""SELECT date, ad_unit, fold_name, daily_impressions, is_anomaly, {r('lower_bound', 4)} AS lower_bound,
+_ANOMALIES = f"""SELECT date, ad_unit, fold_name, daily_impressions, is_anomaly, {r('lower_bound', 4)} AS lower_bound,
     {r('upper_bound', 4)} AS upper_bound, {r('anomaly_probability', 6)} AS anomaly_probability FROM x_st_anom"""
-)
+
+
+@case(_ANOMALIES)
 def detect_anomalies(b: Bound):
     return rounded(rounded(b.anomalies, 4, "lower_bound", "upper_bound"), 6, "anomaly_probability")
 
@@ -159,12 +159,13 @@ def forecast_with_own_model(b: Bound):
     return forecast_with(train.withColumn("date", F.col("date").cast("timestamp_ntz")), last_value, schema)
 
 
-@case(
-    f"""SELECT count(*) AS n_series, {r('avg(v)', 6)} AS mape, 0.2::DOUBLE AS gate, CASE WHEN avg(v) <= 0.2 THEN 'PROMOTED' ELSE 'REJECTED' END AS status
+_RETRAINED = f"""SELECT count(*) AS n_series, {r('avg(v)', 6)} AS mape, {{0}}::DOUBLE AS gate, CASE WHEN avg(v) <= {{0}} THEN 'PROMOTED' ELSE 'REJECTED' END AS status
     FROM (SELECT z.ad_unit, avg(abs(z.forecast_value - d.daily_impressions) / nullif(d.daily_impressions, 0)) AS v
     FROM x_rt_fc z JOIN x_daily d ON d.ad_unit = z.ad_unit AND d.date = z.forecast_date
     WHERE d.date BETWEEN DATE '2001-11-04' - 91 AND DATE '2001-11-04' GROUP BY z.ad_unit)"""
-)
+
+
+@case(_RETRAINED.format("0.2"))
 def retrain_verdict(b: Bound):
     return rounded(retrain(b.daily_kept, b.holidays, END), 6, "mape")
 

@@ -76,7 +76,7 @@ def load_daily_from_shards(b: Bound):
 def holidays_in_data_range(b: Bound):
     named = holidays_in_range(b.holidays.withColumn("is_major", F.col("is_major").cast("string")), START, END)
     days = b.daily.select(F.col("date").alias("holiday_date"))
-    return days.join(F.broadcast(named), "holiday_date").groupBy("holiday_date", "holiday_name", "is_major").agg(
+    return days.join(named, "holiday_date").groupBy("holiday_date", "holiday_name", "is_major").agg(
         F.count(F.lit(1)).alias("unit_days")
     )
 
@@ -339,14 +339,15 @@ def check_holiday_span(b: Bound):
     return quality.check_holiday_span(used, START, FOLDS[1].test_end, 92)
 
 
-@case(
-    f"""SELECT 'row_count' AS check, {_PASS.format('count(*) >= 7000')} FROM x_daily UNION ALL
+_VALIDATED = f"""SELECT 'row_count' AS check, {_PASS.format('count(*) >= 7000')} FROM x_daily UNION ALL
     SELECT 'no_nulls', CASE WHEN bool_or(date IS NULL OR ad_unit IS NULL OR daily_impressions IS NULL OR day_of_week IS NULL)
         THEN 'FAIL' ELSE 'PASS' END FROM x_daily UNION ALL
     SELECT 'date_continuity', CASE WHEN bool_or(gap_days > 1) THEN 'FAIL' ELSE 'PASS' END FROM {_GAPS.format('x_daily')} UNION ALL
     SELECT 'holiday_join', CASE WHEN bool_or(is_holiday) AND NOT bool_or(days_to_next_holiday IS NULL)
         AND NOT bool_or(is_holiday AND days_to_next_holiday <> 0) THEN 'PASS' ELSE 'FAIL' END FROM x_daily"""
-)
+
+
+@case(_VALIDATED)
 def validate_daily(b: Bound):
     return quality.validate_daily(b.daily, 7000)
 

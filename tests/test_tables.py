@@ -10,6 +10,7 @@ from tests.frames import day, volumes
 from tidecast.config import DEFAULT_FOLDS, Fold, check_horizon, expanding_folds, resolve_fold
 from tidecast.operators import calendar as cal
 from tidecast.operators.rollup import daily_rollup, extract_hourly
+from tidecast.plans.daily_load import run_load
 from tidecast.schemas import LAYOUT, SCHEMAS
 from tidecast.sources import tables
 from tidecast.sources.holidays import holiday_dim, holidays_in_range
@@ -182,3 +183,18 @@ def test_folds():
     made = expanding_folds(date(2023, 1, 1), date(2024, 7, 1), 2)
     assert made == DEFAULT_FOLDS
     assert resolve_fold("cross_fold_avg") == "fold_2" and resolve_fold("fold_1") == "fold_1"
+
+
+def test_load_stores_and_validates(spark, tmp_path):
+    hourly = volumes(spark, {"A": [3, None, 5, 6], "B": [1, 2, 3, 4]}).select(
+        F.col("date").cast("timestamp").alias("datehour"), F.lit("en").alias("wiki"), F.col("ad_unit").alias("title"), F.col("daily_impressions").alias("views")
+    )
+    hol = holiday_dim(spark, 2023, 2023)
+    checks = run_load([hourly], hol, day(0), day(3), str(tmp_path), 8)
+    assert {r.status for r in checks.collect()} == {"PASS"} and checks.count() == 4
+    daily = tables.read_table(spark, str(tmp_path / "daily_impressions"), "daily_impressions")
+    assert rows(daily.where("ad_unit = 'A'").select("date", "daily_impressions"), "date") == [(day(0), 3), (day(1), 4), (day(2), 5), (day(3), 6)]
+    assert (tmp_path / "daily_impressions" / "date=2023-01-02").is_dir()
+    again = run_load([hourly], hol, day(0), day(3), str(tmp_path), 9, partitions=[])  # replaces, and a day is missing
+    assert {r.check: r.status for r in again.collect()}["row_count"] == "FAIL"
+    assert not (tmp_path / "daily_impressions" / "date=2023-01-02").exists() and daily.sparkSession.read.parquet(str(tmp_path / "raw_pageviews")).count() == 7

@@ -114,9 +114,9 @@ def distribution_balance(stats: DataFrame) -> DataFrame:
 
 
 def holiday_impact(raw: DataFrame, holidays: DataFrame) -> DataFrame:
-    """Mean volume on each major holiday. The dimension has one row per date, so it is broadcast."""
+    """Mean volume on each major holiday."""
     major = holidays.where("is_major").select(F.col("holiday_date").alias("date"), "holiday_name")
-    return raw.join(F.broadcast(major), "date").groupBy("ad_unit", "holiday_name").agg(
+    return raw.join(major, "date").groupBy("ad_unit", "holiday_name").agg(
         F.avg("daily_impressions").alias("avg_impressions_on_holiday")
     )
 

@@ -117,7 +117,7 @@ def mape_box(metrics: DataFrame, fold: str) -> DataFrame:
     """Quartiles and whiskers of MAPE per model: whiskers end at the last point within 1.5 IQR."""
     rows = metric_only(metrics).where(F.col("fold_name") == fold).select("model_name", "ad_unit", "metric_value")
     fences = _fences(rows)
-    inside = rows.join(F.broadcast(fences), "model_name").groupBy(*fences.columns).agg(
+    inside = rows.join(fences, "model_name").groupBy(*fences.columns).agg(
         F.min(F.when(F.col("metric_value") >= F.col("fence_low"), F.col("metric_value"))).alias("whisker_low"),
         F.max(F.when(F.col("metric_value") <= F.col("fence_high"), F.col("metric_value"))).alias("whisker_high"),
         F.count_if(~F.col("metric_value").between(F.col("fence_low"), F.col("fence_high"))).alias("n_outliers"),
@@ -129,7 +129,7 @@ def mape_outliers(metrics: DataFrame, fold: str) -> DataFrame:
     """The series outside the whiskers, one row each."""
     rows = metric_only(metrics).where(F.col("fold_name") == fold).select("model_name", "ad_unit", "metric_value")
     outside = ~F.col("metric_value").between(F.col("fence_low"), F.col("fence_high"))
-    return rows.join(F.broadcast(_fences(rows)), "model_name").where(outside).select(
+    return rows.join(_fences(rows), "model_name").where(outside).select(
         "model_name", "ad_unit", "metric_value"
     )
 

@@ -12,7 +12,8 @@ from tidecast.operators.folds import in_fold
 from tidecast.operators.metrics import forecast_vs_actual
 from tidecast.operators.structural import fit_structural, forecast_structural
 from tidecast.functions import scalars as fn
-from tidecast.sources.tables import recent
+from tidecast.sources.tables import read_table, recent, replace_table
+from tidecast.sources.workspace import settle
 
 
 def holdout_fold(as_of: date, days: int, horizon: int) -> Fold:
@@ -55,3 +56,28 @@ def staged_parameters(
     """Parameters fitted on the whole look-back window, for publishing after a PROMOTED verdict."""
     fold = Fold("retrain", as_of - timedelta(days=days), as_of, as_of, as_of)
     return fit_structural(in_fold(recent(daily, days, as_of), [fold], "train"), holidays)
+
+
+def retrain_and_publish(
+    daily: DataFrame,
+    holidays: DataFrame,
+    as_of: date,
+    root: str,
+    days: int = RETRAIN_LOOKBACK_DAYS,
+    gate: float = RETRAIN_MAPE_GATE,
+    horizon: int = HORIZON,
+) -> DataFrame:
+    """Stage new parameters, judge them and publish them only on PROMOTED. Returns the verdict row.
+
+    The look-back window is stored as ``root/staging/daily_impressions`` and its parameters as
+    ``root/staging/model_parameters``; only a PROMOTED run replaces ``root/model_parameters``, so a rejected
+    or interrupted one leaves the published parameters as they were.
+    """
+    spark, staging = daily.sparkSession, f"{root}/staging"
+    replace_table(recent(daily, days, as_of), f"{staging}/daily_impressions", "daily_impressions", [])
+    window = read_table(spark, f"{staging}/daily_impressions", "daily_impressions")
+    verdict = settle(retrain(window, holidays, as_of, days, gate, horizon))
+    replace_table(staged_parameters(window, holidays, as_of, days), f"{staging}/model_parameters")
+    if verdict.first()["status"] == "PROMOTED":
+        replace_table(read_table(spark, f"{staging}/model_parameters"), f"{root}/model_parameters")
+    return verdict

@@ -96,9 +96,10 @@ def _remove_folder(spark: SparkSession, folder: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def ctas(df: DataFrame, table: str) -> DataFrame:
-    """Create or replace a catalog table from a query."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(table)
+def ctas(df: DataFrame, table: str, path: str | None = None) -> DataFrame:
+    """Create or replace a catalog table from a query, stored at ``path`` or, without one, in the warehouse."""
+    writer = df.write.mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
     return df.sparkSession.table(table)
 
 
