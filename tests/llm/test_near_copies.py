@@ -1,0 +1,62 @@
+"""The near-copy stage against brute force, and rows that share an id with a removed one."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from tidecast.llm import near_copies
+
+
+def _words(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(n)]
+
+
+def _jaccard(a, b):
+    sets = []
+    for text in (a, b):
+        words = (text or "").lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("chunk", [256, 4])
+def test_near_copies_equal_brute_force(spark, chunk):
+    rng, texts = random.Random(31), [None, "", "a b", "A  b"]
+    for _ in range(12):
+        base = _words(rng, rng.randint(40, 120))
+        texts.append(" ".join(base))
+        for _ in range(7):
+            copy = list(base)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(len(copy))] = _words(rng, 1)[0]
+            texts.append(" ".join(copy))
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and _jaccard(texts[a], texts[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert 15 < len(set(root)) < len(texts) - 15
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    groups = {}
+    for r in near_copies.near_copies(docs, chunk=chunk).collect():
+        groups.setdefault(r["component"], []).append(r["id"])
+    got = {i: min(ids) for ids in groups.values() for i in ids}
+    assert [got[k] for k in range(len(texts))] == root
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    rng = random.Random(32)
+    base, other, third, fourth, lone = (" ".join(_words(rng, 60)) for _ in range(5))
+    near = lambda t: t + " more"
+    rows = [(1, base), (None, near(base)), (None, other), (None, third), (5, fourth), (5, near(fourth)), (5, lone), (None, near(third)), (6, lone + " x y"), (8, other + " z"), (8, other + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for drop in (corpus_pipeline.simhash_near_dedup,):
+        kept = [tuple(r) for r in drop(spark, docs, "").collect()]
+        assert len(kept) == 5 and (1, base) in kept and (8, other + " z") in kept
+        assert sum(k == (5, lone) for k in kept) == 1 and not any(k[0] == 6 for k in kept)
+        assert sum(k in [(5, fourth), (5, near(fourth))] for k in kept) == 1
+        assert sum(k in [(None, third), (None, near(third))] for k in kept) == 1
