@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tidecast.llm import near_copies
+from tidecast.llm import decontamination, near_copies, simhash
 
 
 def _words(rng, n):
@@ -54,9 +54,28 @@ def test_near_copies_of_null_and_repeated_ids(spark):
     near = lambda t: t + " more"
     rows = [(1, base), (None, near(base)), (None, other), (None, third), (5, fourth), (5, near(fourth)), (5, lone), (None, near(third)), (6, lone + " x y"), (8, other + " z"), (8, other + " z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    for drop in (corpus_pipeline.simhash_near_dedup,):
-        kept = [tuple(r) for r in drop(spark, docs, "").collect()]
-        assert len(kept) == 5 and (1, base) in kept and (8, other + " z") in kept
-        assert sum(k == (5, lone) for k in kept) == 1 and not any(k[0] == 6 for k in kept)
-        assert sum(k in [(5, fourth), (5, near(fourth))] for k in kept) == 1
-        assert sum(k in [(None, third), (None, near(third))] for k in kept) == 1
+    kept = [tuple(r) for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()]
+    assert len(kept) == 5 and (1, base) in kept and (8, other + " z") in kept
+    assert sum(k == (5, lone) for k in kept) == 1 and not any(k[0] == 6 for k in kept)
+    assert sum(k in [(5, fourth), (5, near(fourth))] for k in kept) == 1
+    assert sum(k in [(None, third), (None, near(third))] for k in kept) == 1
+
+
+def test_simhash_removal_is_per_row(spark):
+    rng = random.Random(33)
+    base, other, third = (" ".join(_words(rng, 60)) for _ in range(3))
+    rows = [(1, base), (None, base.upper()), (None, other), (5, third), (5, third.upper()), (5, other + " " + base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert (1, base) in kept and (None, other) in kept and (5, other + " " + base) in kept
+    assert len(kept) == 4 and sum(k in [(5, third), (5, third.upper())] for k in kept) == 1
+
+
+def test_decontamination_is_per_row(spark):
+    rng = random.Random(34)
+    item, one, two, three = (" ".join(_words(rng, 30)) for _ in range(4))
+    clean, leaked = [(None, one), (None, None), (5, two), (5, two), (6, three)], [(None, f"{one} {item}"), (5, f"{three} {item}")]
+    docs = spark.createDataFrame(clean + leaked, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = [tuple(r) for r in decontamination.drop_contaminated(docs, bench).collect()]
+    assert sorted(kept, key=str) == sorted(clean, key=str)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.sources.workspace import settle
 
-__all__ = ["extended", "fold", "packed_rows", "read", "settle", "text_of", "unpacked_rows"]
+__all__ = ["extended", "fold", "one_of_each_group", "packed_rows", "read", "settle", "text_of", "unpacked_rows"]
 
 ROW = "_row"
 
@@ -39,3 +41,19 @@ def unpacked_rows(df: DataFrame) -> DataFrame:
 def extended(df: DataFrame, columns: str) -> T.StructType:
     """The schema of ``df`` with columns added, given as in "name type, ..."."""
     return T.StructType(df.schema.fields + T.StructType.fromDDL(columns).fields)
+
+
+def one_of_each_group(docs: DataFrame, found: DataFrame, digest: Callable[[Column], Column], id_column: str, text_column: str) -> DataFrame:
+    """The rows of ``docs``, one of each component of ``found`` (id, sha, component): smallest id (null last), then digest.
+
+    Rows are told apart by id and digest of the text; of rows equal in both, one stays.
+    """
+    own = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("sha").alias("sha"))
+    groups = settle(found.groupBy("component").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    stays = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("sha") == F.col("least.sha"))
+    marked = settle(found.join(groups, "component").groupBy(F.col("id").alias("_other"), F.col("sha").alias("_sha")).agg(F.max(stays).alias("_stays")))
+    whole = packed_rows(docs).select(ROW, F.col(f"{ROW}.{id_column}").cast("long").alias("_id"), digest(text_of(f"{ROW}.{text_column}")).alias("_digest"))
+    joined = whole.join(marked, (F.col("_digest") == F.col("_sha")) & F.col("_id").eqNullSafe(F.col("_other")), "left")
+    alone = joined.filter("_stays IS NULL").select(ROW)
+    first = joined.filter("_stays").dropDuplicates(["_id", "_digest"]).select(ROW)
+    return unpacked_rows(alone.unionByName(first))

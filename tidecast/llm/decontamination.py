@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import ROW, packed_rows, settle, unpacked_rows
+from tidecast.llm.common import ROW, packed_rows, settle, text_of, unpacked_rows
 
 SIMILARITY = 0.8
 STEPS = 40
@@ -202,28 +202,31 @@ SCHEMA = "doc_id long, item_id long, distance int, item_length int"
 
 
 def _find(docs: DataFrame, items: list[tuple[int, str]], similarity: float) -> DataFrame:
+    """The matches of (doc_id, text, sha); sha is passed on."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def work(batches):
         index = Index(sent.value, similarity)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, shas = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a in range(0, len(ids), 256):
                 found = matches(index, batch.column(1).slice(a, 256).to_pylist())
                 if found:
                     k, item, d, n = zip(*found)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[a + x] for x in k], pa.int64()), pa.array(item, pa.int64()), pa.array(d, pa.int32()), pa.array(n, pa.int32())],
-                        ["doc_id", "item_id", "distance", "item_length"],
+                        [pa.array([ids[a + x] for x in k], pa.int64()), pa.array(item, pa.int64()), pa.array(d, pa.int32()), pa.array(n, pa.int32()), pa.array([shas[a + x] for x in k], pa.string())],
+                        ["doc_id", "item_id", "distance", "item_length", "sha"],
                     )
 
-    return docs.mapInArrow(work, SCHEMA)
+    return docs.mapInArrow(work, SCHEMA + ", sha string")
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, distance, item_length) of every document and item where the document holds the item."""
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
+def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    return benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
+
+
+def _contaminations(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """The matches of (doc_id, text, sha) over all blocks of items."""
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-2 * size // BLOCK_BYTES))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
@@ -235,8 +238,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
     return out.dropDuplicates() if blocks > 1 else out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id") -> DataFrame:
-    """The documents, with all their columns, that hold no item."""
-    gone = settle(contaminations(docs, benchmark, similarity, id_column).select(F.col("doc_id").alias("_gone")).distinct())
-    whole = packed_rows(docs).withColumn("_id", F.col(f"{ROW}.{id_column}"))
-    return unpacked_rows(whole.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti"))
+def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, distance, item_length) of every document and item where the document holds the item."""
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.lit(None).cast("string").alias("sha"))
+    return _contaminations(texts, _items(benchmark, item_id, item_text), similarity).drop("sha")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents, with all their columns, that hold no item; rows are told apart by id and text."""
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.sha2(text_of(text_column), 256).alias("sha"))
+    gone = settle(_contaminations(texts, _items(benchmark, item_id, item_text), similarity).select(F.col("doc_id").alias("_gone"), F.col("sha").alias("_sha")).distinct())
+    whole = packed_rows(docs).select(ROW, F.col(f"{ROW}.{id_column}").cast("long").alias("_id"), F.sha2(text_of(f"{ROW}.{text_column}"), 256).alias("_digest"))
+    return unpacked_rows(whole.join(gone, (F.col("_digest") == F.col("_sha")) & F.col("_id").eqNullSafe(F.col("_gone")), "left_anti"))

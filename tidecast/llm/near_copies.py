@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import ROW, packed_rows, settle, text_of, unpacked_rows
+from tidecast.llm.common import one_of_each_group, settle, text_of
 from tidecast.llm.components import connected_components
 from tidecast.llm.simhash import SEED, linked, pivot_table
 
@@ -195,12 +195,4 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents with all their columns, one of each group: the one with the smallest id, then the smallest digest."""
     found = settle(near_copies(docs, id_column, text_column))
-    own = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("sha").alias("sha"))
-    groups = settle(found.groupBy("component").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    stays = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("sha") == F.col("least.sha"))
-    marked = settle(found.join(groups, "component").groupBy(F.col("id").alias("_other"), F.col("sha").alias("_sha")).agg(F.max(stays).alias("_stays")))
-    whole = packed_rows(docs).select(ROW, F.col(f"{ROW}.{id_column}").cast("long").alias("_id"), _digest(text_of(f"{ROW}.{text_column}")).alias("_digest"))
-    joined = whole.join(marked, (F.col("_digest") == F.col("_sha")) & F.col("_id").eqNullSafe(F.col("_other")), "left")
-    alone = joined.filter("_stays IS NULL").select(ROW)
-    first = joined.filter("_stays").dropDuplicates(["_id", "_digest"]).select(ROW)
-    return unpacked_rows(alone.unionByName(first))
+    return one_of_each_group(docs, found, _digest, id_column, text_column)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import ROW, packed_rows, settle, unpacked_rows
+from tidecast.llm.common import one_of_each_group, settle, text_of
 from tidecast.llm.components import connected_components
 
 SHINGLE = 4
@@ -268,7 +268,8 @@ def hex_of(fp: Column) -> Column:
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents with all their columns, one of each group: the one with the smallest id."""
-    groups = near_duplicate_groups(docs, id_column, text_column)
-    gone = settle(groups.filter(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_gone")).distinct())
-    whole = packed_rows(docs).withColumn("_id", F.col(f"{ROW}.{id_column}"))
-    return unpacked_rows(whole.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti"))
+    mark = F.xxhash64
+    texts = docs.select(mark(text_of(text_column)).alias("mark"), F.col(text_column).alias("text"))
+    groups = near_duplicate_groups(texts, "mark", "text").select(F.col("id").alias("sha"), "component").distinct()
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), mark(text_of(text_column)).alias("sha"))
+    return one_of_each_group(docs, settle(rows.join(groups, "sha")), mark, id_column, text_column)
