@@ -79,3 +79,15 @@ def test_decontamination_is_per_row(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     kept = [tuple(r) for r in decontamination.drop_contaminated(docs, bench).collect()]
     assert sorted(kept, key=str) == sorted(clean, key=str)
+
+
+def test_contaminations_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(35)
+    item = " ".join(_words(rng, 30))
+    edited = item.replace("a", "z", 2)
+    docs = spark.createDataFrame([(1, item), (1, item), (2, edited)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, edited), *((k, " ".join(_words(rng, 30))) for k in range(10, 20))], "item_id long, text string")
+    one = sorted(map(tuple, decontamination.contaminations(docs, bench).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 256)
+    assert sorted(map(tuple, decontamination.contaminations(docs, bench).collect())) == one
+    assert [r[:3] for r in one] == [(1, 7, 0), (1, 7, 0), (2, 7, 0)]

@@ -226,16 +226,16 @@ def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
 
 
 def _contaminations(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
-    """The matches of (doc_id, text, sha) over all blocks of items."""
+    """The matches of (doc_id, text, sha) over all blocks of items; the texts of an item id share a block."""
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-2 * size // BLOCK_BYTES))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
     out = None
     for block in range(blocks):  # a block is bounded, and so is each pass's broadcast
         rows = [(r.item_id, r.text) for r in dealt.filter(F.col("block") == block).collect()]
         found = _find(docs, rows, similarity)
         out = found if out is None else out.unionByName(found)
-    return out.dropDuplicates() if blocks > 1 else out
+    return out
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
