@@ -9,10 +9,12 @@ so they agree in most steps: edit distance becomes Hamming distance. Walks of ``
 every byte of an item (its item-sized window at offset 0, and those its later parts begin) and at every
 ``STRIDE``-th byte of a document. A bit sample is ``SAMPLED`` steps of a walk, and windows that agree in
 a whole sample hit. A leaked item of n bytes holds about n / ``STRIDE`` document starts, each tried under
-``WALKS`` times ``SAMPLES`` samples; where ``TWICE`` starts or more hit an item at about the same place, the
-item is verified once there, by exact edit distance to the best passage of the document's window
-(bit-parallel). ``expected_recall`` gives the recall of these repeats for a rate of edits: for items of
-200 bytes it is over 0.99 without edits and up to 3 % of edited bytes.
+``WALKS`` times ``SAMPLES`` samples; wherever a start hits (``HITS`` = 1), the item is verified at that place by
+exact edit distance to the best passage of the document's window (bit-parallel). ``expected_recall`` gives the
+recall of these repeats for a rate of edits, counting edits against each start alone.
+
+Items under ``MEDIUM`` bytes hold too few starts for that and are sought without loss: of one more pieces of an
+item than edits allowed, a passage within that distance holds one unedited; where a piece occurs the item is verified.
 
 Scale: documents are read once and never shuffled. Items are sent in blocks of at most about
 ``BLOCK_BYTES`` of text, each a pass over the documents, so what a task holds has a fixed bound.
@@ -35,26 +37,27 @@ from tidecast.llm.common import ROW, packed_rows, settle, text_of, unpacked_rows
 
 SIMILARITY = 0.8
 STEPS = 40
-STRIDE = 4
+STRIDE = 2
 WALKS = 2
 SAMPLES = 2
 SAMPLED = 20
-TWICE = 2
+HITS = 1
 SHORT = 24
+MEDIUM = 64
 BLOCK_BYTES = 1 << 18
 _SLICE = 1 << 16
 _FILTER_BITS = 22
 
 
 def expected_recall(item_bytes: int, edit_rate: float) -> float:
-    """The chance of ``TWICE`` hits, counting only starts whose (STEPS + 1) / 2 bytes hold no edit.
+    """The chance of ``HITS`` hits, counting only starts whose (STEPS + 1) / 2 bytes hold no edit.
 
     Starts are taken as independent; walks that meet again after an edit add to this.
     """
     span = (STEPS + 1) / 2
     starts = max(1, int((item_bytes - span) / STRIDE))
     p = (1 - edit_rate) ** span
-    return 1 - sum(math.comb(starts, k) * p**k * (1 - p) ** (starts - k) for k in range(TWICE))
+    return 1 - sum(math.comb(starts, k) * p**k * (1 - p) ** (starts - k) for k in range(HITS))
 
 
 def normalised(text: str | None) -> bytes:
@@ -88,7 +91,7 @@ class Index:
     """The keys of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float):
-        self.walks, self.items, self.short = _Walks(), [], []
+        self.walks, self.items, self.short, self.medium = _Walks(), [], [], []
         keys, where = [], []
         for item_id, text in items:
             raw = normalised(text)
@@ -101,6 +104,9 @@ class Index:
             bits: dict[str, int] = {}
             for k, c in enumerate(own):
                 bits[c] = bits.get(c, 0) | 1 << k
+            if len(raw) < MEDIUM:
+                self.medium.append((item_id, own, bits, math.floor((1 - similarity) * len(own) + 1e-9)))
+                continue
             number = len(self.items)
             self.items.append((item_id, own, bits, math.floor((1 - similarity) * len(own) + 1e-9), len(raw)))
             starts = np.arange(0, len(raw) - SHORT // 2)
@@ -160,11 +166,30 @@ def best_distance(item: str, bits: dict[str, int], window: str, most: int) -> in
     return min(best, most + 1)
 
 
+def piecewise_distance(item: str, bits: dict[str, int], text: str, most: int) -> int:
+    """As best_distance over a whole text: of ``most`` + 1 pieces of the item, a passage that near holds one unedited."""
+    n, windows = len(item), []
+    edges = [round(n * k / (most + 1)) for k in range(most + 2)]
+    for a, z in zip(edges, edges[1:]):
+        at = text.find(item[a:z])
+        while at >= 0:
+            windows.append((max(0, at - a - most), at - a + n + most))
+            at = text.find(item[a:z], at + 1)
+    best, begin, end = most + 1, 0, -1
+    for x, y in [*sorted(windows), (len(text) + n, 0)]:  # overlapping windows are one
+        if x > end:
+            if end > 0:
+                best = min(best, best_distance(item, bits, text[begin:end], most))
+            begin, end = x, y
+        end = max(end, y)
+    return best
+
+
 def _supported(number: np.ndarray, item: np.ndarray, place: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Rows (text, item, first of 32 places) under which ``TWICE`` starts of a text or more agree with an item."""
+    """Rows (text, item, first of 32 places) under which ``HITS`` starts of a text or more agree with an item."""
     hits = np.unique(np.column_stack([number, item, place >> 5, start]), axis=0)
     rows, n = np.unique(hits[:, :3], axis=0, return_counts=True)
-    return rows[n >= TWICE] * [1, 1, 32]
+    return rows[n >= HITS] * [1, 1, 32]
 
 
 def matches(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
@@ -195,6 +220,13 @@ def matches(index: Index, texts: list[str | None]) -> list[tuple[int, int, int,
         for k, r in enumerate(raws):
             if f" {own} ".encode() in b" " + r + b" ":
                 best.setdefault((k, item_id), (0, len(own)))
+    if index.medium:
+        for k, r in enumerate(raws):
+            text = r.decode("utf-8")
+            for item_id, own, bits, most in index.medium:
+                d = piecewise_distance(own, bits, text, most)
+                if d <= most and d < best.get((k, item_id), (most + 1, 0))[0]:
+                    best[k, item_id] = (d, len(own))
     return [(k, i, d, n) for (k, i), (d, n) in sorted(best.items())]
 
 
