@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import decontamination, near_copies, quality
+from tidecast.llm import decontamination, quality, simhash
 from tidecast.llm.common import fold, read
 from tidecast.llm.exact_dedup import drop_exact_duplicates
 from tidecast.llm.packing import pack_documents
@@ -26,7 +26,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.drop_near_copies(docs)
+    """By the fingerprints and the distance of the query: 4-word shingles, at most 4 bits."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
