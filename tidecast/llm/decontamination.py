@@ -257,14 +257,18 @@ def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     return benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
 
 
-def _contaminations(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
-    """The matches of (doc_id, text, sha) over all blocks of items; the texts of an item id share a block."""
+def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
+    """The items in blocks of about half of ``BLOCK_BYTES``; the texts of an item id share a block."""
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-2 * size // BLOCK_BYTES))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    return [[(r.item_id, r.text) for r in dealt.filter(F.col("block") == block).collect()] for block in range(blocks)]
+
+
+def _contaminations(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """The matches of (doc_id, text, sha) over all blocks of items."""
     out = None
-    for block in range(blocks):  # a block is bounded, and so is each pass's broadcast
-        rows = [(r.item_id, r.text) for r in dealt.filter(F.col("block") == block).collect()]
+    for rows in _blocks(items):  # a block is bounded, and so is each pass's broadcast
         found = _find(docs, rows, similarity)
         out = found if out is None else out.unionByName(found)
     return out
@@ -277,8 +281,23 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents, with all their columns, that hold no item; rows are told apart by id and text."""
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.sha2(text_of(text_column), 256).alias("sha"))
-    gone = settle(_contaminations(texts, _items(benchmark, item_id, item_text), similarity).select(F.col("doc_id").alias("_gone"), F.col("sha").alias("_sha")).distinct())
-    whole = packed_rows(docs).select(ROW, F.col(f"{ROW}.{id_column}").cast("long").alias("_id"), F.sha2(text_of(f"{ROW}.{text_column}"), 256).alias("_digest"))
-    return unpacked_rows(whole.join(gone, (F.col("_digest") == F.col("_sha")) & F.col("_id").eqNullSafe(F.col("_gone")), "left_anti"))
+    """The documents, with all their columns, that hold no item: each row passes or goes by itself, none is shuffled."""
+    whole = packed_rows(docs).select(F.col(f"{ROW}.{text_column}").cast("string").alias("_text"), ROW)
+    schema = whole.select(ROW).schema
+    for rows in _blocks(_items(benchmark, item_id, item_text)):  # what one block's pass lets through, the next one reads
+        whole = whole.select(F.col(f"{ROW}.{text_column}").cast("string").alias("_text"), ROW).mapInArrow(_clean_rows(docs, rows, similarity), schema)
+    return unpacked_rows(whole)
+
+
+def _clean_rows(docs: DataFrame, items: list[tuple[int, str]], similarity: float):
+    sent = docs.sparkSession.sparkContext.broadcast(items)
+
+    def work(batches):
+        index = Index(sent.value, similarity)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                gone = {k for k, *_ in matches(index, part.column(0).to_pylist())}
+                yield part.select([ROW]).filter(pa.array([k not in gone for k in range(part.num_rows)]))
+
+    return work

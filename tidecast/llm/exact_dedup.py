@@ -40,18 +40,18 @@ def _slots(key: str, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.lit(bits)) for k in range(2)]
 
 
-def _bits_for(rows: int) -> int:
+def bits_for(rows: int) -> int:
     return min(MAX_BITS, max(MIN_BITS, 1 << math.ceil(math.log2(max(rows, 1) * BITS_PER_ROW))))
 
 
-def repeated_bitmap(digests: DataFrame, key: str, bits: int) -> DataFrame:
-    """One row, one array of longs: the Bloom filter of the keys that may occur more than once."""
+def repeated_bitmap(digests: DataFrame, key: str, bits: int, least: int = 2) -> DataFrame:
+    """One row, one array of longs: the Bloom filter of the keys that may occur ``least`` times or more."""
     spark = digests.sparkSession
     hit = (
         digests.select(F.explode(F.array(*_slots(key, bits))).alias("slot"))
         .groupBy("slot")
         .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
+        .filter(F.col("n") >= least)
         .select(F.expr("shiftright(slot, 6)").alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bits"))
     )
     blank = spark.range(0, bits >> 6, 1, 4).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
@@ -92,7 +92,7 @@ def _digests(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row per document: id, keep_id, group_size, kept, sha (of the normalised text)."""
     rows = _digests(docs, id_column, text_column)
-    bits = _bits_for(rows.count())
+    bits = bits_for(rows.count())
     possible = may_repeat("sha", repeated_bitmap(rows, "sha", bits), bits)
     candidates = rows.filter(possible)
     keepers = settle(_keepers(candidates))  # as a table of its own, so that the join can split or broadcast it
@@ -112,7 +112,7 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: st
 def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that stay, with all their columns. Only texts that may repeat are shuffled."""
     rows = _digests(docs, id_column, text_column)
-    bits = _bits_for(rows.count())
+    bits = bits_for(rows.count())
     bitmap = repeated_bitmap(rows, "sha", bits)
     keepers = settle(_keepers(rows.filter(may_repeat("sha", bitmap, bits))))
     whole = packed_rows(docs).select(

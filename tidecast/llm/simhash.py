@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import one_of_each_group, settle, text_of
+from tidecast.llm.common import ROW, packed_rows, settle, text_of, unpacked_rows
 from tidecast.llm.components import connected_components
+from tidecast.llm.exact_dedup import bits_for, may_repeat, repeated_bitmap
 
 SHINGLE = 4
 DISTANCE = 4
@@ -267,9 +268,25 @@ def hex_of(fp: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents with all their columns, one of each group: the one with the smallest id."""
+    """The documents with all their columns, one of each group: the one with the smallest id (null last), then mark.
+
+    Rows are told apart by id and a 64-bit mark of the text, so another row with a removed one's id (or a null id as
+    well) stays; of rows equal in both, one stays. Only rows whose mark may be one of a group of two or more, by a
+    Bloom filter, are shuffled.
+    """
     mark = F.xxhash64
     texts = docs.select(mark(text_of(text_column)).alias("mark"), F.col(text_column).alias("text"))
     groups = near_duplicate_groups(texts, "mark", "text").select(F.col("id").alias("sha"), "component").distinct()
     rows = docs.select(F.col(id_column).cast("long").alias("id"), mark(text_of(text_column)).alias("sha"))
-    return one_of_each_group(docs, settle(rows.join(groups, "sha")), mark, id_column, text_column)
+    found = settle(rows.join(groups, "sha"))
+    own = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("sha").alias("sha"))
+    shared = settle(found.groupBy("component").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    stays = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("sha") == F.col("least.sha"))
+    marked = settle(found.join(shared, "component").groupBy(F.col("id").alias("_other"), F.col("sha").alias("_sha")).agg(F.max(stays).alias("_stays")))
+    bits = bits_for(marked.count())
+    possible = may_repeat("_mark", repeated_bitmap(marked, "_sha", bits, least=1), bits)
+    whole = packed_rows(docs).select(ROW, F.col(f"{ROW}.{id_column}").cast("long").alias("_id"), mark(text_of(f"{ROW}.{text_column}")).alias("_mark"))
+    joined = whole.filter(possible).join(marked, (F.col("_mark") == F.col("_sha")) & F.col("_id").eqNullSafe(F.col("_other")), "left")
+    alone = joined.filter("_stays IS NULL").select(ROW)
+    first = joined.filter("_stays").dropDuplicates(["_id", "_mark"]).select(ROW)
+    return unpacked_rows(whole.filter(~possible).select(ROW).unionByName(alone).unionByName(first))
