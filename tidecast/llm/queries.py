@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import decontamination, html_extract, language_id, quality, secret_scan, simhash, suffix_dedup, url_rules
+from tidecast.llm import decontamination, hard_negatives, html_extract, language_id, prefix_trie, quality, secret_scan, simhash, suffix_dedup, url_rules
 from tidecast.llm.common import fold, read
 from tidecast.llm.exact_dedup import duplicate_groups
 from tidecast.llm.packing import pack_documents
@@ -117,3 +117,67 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     labelled = html_extract.labelled_by_number(pages, read(spark, sf_dir, "documents"))
     return html_extract.extract(pages.select("page_id", "url", "html"), html_extract.fit(labelled))
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256.0 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n USING (anchor_id)
+WHERE NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 3
+""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.usable(read(spark, sf_dir, "embeddings"), label=shifted)
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+@query("""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), sizes AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS b, xor(4294967295, list_reduce(
+           list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda s, e: CASE WHEN e >= 0 THEN xor(s, e) ELSE xor(s >> 1, 3988292384 * (s & 1)) END)) % 4 AS h
+  FROM sizes
+), m AS (
+  SELECT c.conv_id, t.k AS pos, r, x FROM c JOIN t ON t.conv_id = c.b AND t.k < c.h
+  UNION ALL
+  SELECT c.conv_id, least(c.h, coalesce(n, 0)) + t.k - c.h, r, x
+  FROM c JOIN t ON t.conv_id = c.conv_id AND t.k >= c.h LEFT JOIN sizes ON sizes.conv_id = c.b
+), s AS (
+  SELECT c.conv_id, coalesce(list(struct_pack(r := r, x := x) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS seq
+  FROM c LEFT JOIN m USING (conv_id) GROUP BY 1
+), p AS (SELECT conv_id, len(seq) AS n, seq, unnest(generate_series(0, len(seq))) AS d FROM s),
+nodes AS (
+  SELECT seq[1:d] AS node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256,
+         (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(any_value(seq[d].x), '[^\x20\x09-\x0D]+')) END AS saved
+  FROM p GROUP BY 1, 2
+), kids AS (SELECT node[1:depth - 1] AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+whole AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (node, depth)),
+below AS (
+  SELECT node[1:a] AS node, a AS depth, sum(saved)::BIGINT AS saved_tokens, (count(*) FILTER (n_children = 0))::BIGINT AS n_leaves
+  FROM (SELECT *, unnest(generate_series(0, depth)) AS a FROM whole) GROUP BY 1, 2
+)
+SELECT w.conv_id, w.depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM whole w JOIN below USING (node, depth) LEFT JOIN nodes up ON up.depth = w.depth - 1 AND up.node = w.node[1:w.depth - 1]
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
