@@ -45,6 +45,12 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     pages = [(k, f"https://a.com/x/{k}", f"<body><nav>Menu</nav><article><p>{texts[k]}</p></article></body>") for k in range(20)]
     pages += [(None, None, None), (7, "no scheme", ""), (8, "x://h", "<p"), pages[0]]
+    turns = [(c, k, rng.choice(["user", "bot", None]), rng.choice(["a b", None, ""])) for c in range(45) for k in range(c % 4)]
+    turns += [(None, 0, "user", "x"), (3, None, None, None), turns[5], turns[5]]
+    spark.createDataFrame([(*t, "n", 1) for t in turns], "conv_id long, turn long, role string, text string, node string, depth int").write.parquet(f"{folder}/conversations.parquet")
+    vectors = [(k, k % 3, [rng.random() for _ in range(8)]) for k in range(120)]
+    vectors += [(None, 1, [1.0]), (50, None, [1.0]), (51, 1, None), (52, 1, [None, 1.0]), (53, 1, [float("nan")]), vectors[100], (100, 2, [])]
+    spark.createDataFrame([(*v, 1, "s") for v in vectors], "vec_id long, label int, embedding array<float>, key int, score string").write.parquet(f"{folder}/embeddings.parquet")
     spark.createDataFrame([(*p, None, "n") for p in pages], "page_id long, url string, html string, host string, verdict string").write.parquet(f"{folder}/pages.parquet")
     return folder
 
@@ -130,6 +136,14 @@ def test_queries_on_awkward_tables(spark, tables, name):
     if name == "op6_benchmark_decontamination":
         assert {r["doc_id"] for r in rows} >= {88, 89, 90}
         return
+    if name == "op11_prefix_trie":
+        assert len(rows) == len({(r["conv_id"], r["depth"]) for r in rows}) and sum(r["depth"] == 0 for r in rows) == 1
+        assert all((r["parent_conv_id"] is None) == (r["depth"] == 0) for r in rows)
+        return
+    if name == "op12_hard_negatives":
+        assert {r["anchor_id"] for r in rows} == {0, 50, 100}
+        assert all(50 * r["positive_score"] <= 100 * r["negative_score"] <= 95 * r["positive_score"] for r in rows)
+        return
     table, nulls = ("pages", 1) if "page_id" in got.columns else ("documents", 2)
     later_pieces = sum(r["piece"] > 0 for r in rows) if name == "op1_best_fit_packing" else 0
     assert len(rows) == spark.read.parquet(f"{tables}/{table}.parquet").count() + later_pieces
@@ -139,7 +153,7 @@ def test_queries_on_awkward_tables(spark, tables, name):
 @pytest.fixture(scope="module")
 def empty(spark, tables, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "benchmark", "pages"):
+    for name in ("documents", "labels", "benchmark", "pages", "conversations", "embeddings"):
         spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
