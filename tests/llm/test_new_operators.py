@@ -173,8 +173,8 @@ def test_long_lists_go_out_as_they_come(monkeypatch):
     """Every entry of a list carries one number, however the list falls over batches and the buffer."""
     rng = random.Random(5)
     lists = {s: sorted(rng.sample(range(1000), rng.choice([1, 2, 40, 90]))) for s in range(30)}
-    rows = [(s, s, n, 0) for s, nodes in lists.items() for n in nodes for _ in range(rng.choice([1, 1, 2]))]
-    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["dealt", "shingle", "node", "frequency"])
+    rows = [(s, n, 0) for s, nodes in lists.items() for n in nodes for _ in range(rng.choice([1, 1, 2]))]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32()))], ["shingle", "node", "frequency"])
     monkeypatch.setattr(jaccard_join, "_BUFFER", 50)
     for size in (7, 64, 5000):
         got = [r for b in jaccard_join._shared(whole.slice(a, size) for a in range(0, len(rows), size)) for r in zip(*(c.to_pylist() for c in b.columns))]

@@ -12,18 +12,21 @@ first n - c + 2.
 * The boundary is the size at which the cost, subsets put out by smaller sets plus entries that larger ones
   scan, is least (``boundary``).
 
-A shingle of one node can't be shared. A set with more than n - c of these has no partner at all and is done; only the
-shared shingles of the others are kept, and they suffice to count intersections.
+A shingle of one node can't be shared, and a set with more than n - c of these has no partner. So sets are sieved first:
+each puts out the 2 * (n - c) + 1 shingles with the smallest hashes, of which partners have n' - c' + 1 in common for the
+smaller one's n'. Only what passes puts out all its shingles; those that others hold are kept, and they suffice to
+count intersections.
 
 Candidates are sought in rounds and only between sets that aren't joined yet: under each key the first 1, then 4, 16
 ... sets are compared with all others of the key, each pair once over all keys, and verified by its exact intersection.
 A group of n alike sets so gives n - 1 pairs and not their square; rounds end when no key has sets of two
 components that weren't compared.
 
-Scale: one shuffle of (shingle, node), 16 bytes a shingle, everything after it is far smaller. Counts of ``SLOTS``
-hashed shingle groups over all documents, 2 MB in all, name the shingles that could make a list long; these count as
-the most frequent ones and are passed on without a list, so that no list holds over four times the mean share of a
-slot. The texts are read twice. Copies collapse to a node by aggregation with map-side combination.
+Scale: the sieve shuffles (shingle, node) of under a third of the shingles, the sets that pass it all of theirs.
+Counts of ``SLOTS`` hashed shingle groups over all documents, 2 MB in all, name the shingles that could make a list
+long; these count as the most frequent ones and are passed on without a list, so that no list holds over four times the
+mean share of a slot and ``LIST``. Texts that passed are known by a Bloom filter of their marks and read again. Copies
+collapse to a node by aggregation with map-side combination.
 
 Defined cases: null text counts as empty; fewer words than a shingle make one shingle; texts without words have an
 empty set and link with nothing, not with each other; rows that repeat an id are rows of their own; a null id counts
@@ -39,8 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import settle
+from tidecast.llm.common import settle, text_of
 from tidecast.llm.components import connected_components
+from tidecast.llm.exact_dedup import bits_for, may_repeat, repeated_bitmap
 
 SHINGLE = 4
 PERCENT = 85
@@ -85,42 +89,53 @@ class _Seen:
     def __init__(self):
         self.nodes: set[int] = set()
 
-    def first(self, rows: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
-        """Those of (node, set) not met before."""
-        out = []
-        for node, hashes in rows:
-            if node not in self.nodes:
-                self.nodes.add(node)
-                out.append((node, hashes))
-        if len(self.nodes) > self.LIMIT:
+    def add(self, node: int) -> bool:
+        """Whether the node is new; it is remembered."""
+        if node in self.nodes:
+            return False
+        if len(self.nodes) == self.LIMIT:
             self.nodes = set()
-        return out
+        self.nodes.add(node)
+        return True
 
 
-SCAN = "id long, node long, n int, cut int, counts binary"
+SCAN = "id long, mark long, node long, n int, sieve binary, cut int, counts binary"
 
 
-def _scan(shingle: int):
-    """Over (id, text): a row (id, node, n) per document, then the task's counts by slot in ``_CUTS`` parts."""
+def sieve_size(n: int, percent: int) -> int:
+    """How many of a set's smallest hashes are looked at first."""
+    return min(n, 2 * (n - least_shared(n, percent)) + 1)
+
+
+def least_shared(n: int, percent: int) -> int:
+    """What a set of n has to share with a partner."""
+    return -(-n * percent // 100)
+
+
+def _scan(percent: int, shingle: int):
+    """Over (id, mark, text): a row per document, then the task's counts by slot in ``_CUTS`` parts.
+
+    ``sieve`` holds the smallest hashes of the sets that the task hasn't met before.
+    """
+    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("sieve", pa.binary()), ("cut", pa.int32()), ("counts", pa.binary())])
 
     def work(batches):
         counts, seen = np.zeros(SLOTS, dtype=np.int64), _Seen()
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
-            if not sets:
-                continue
-            nodes = [_node(s) for s in sets]
-            fresh = seen.first([*zip(nodes, sets)])
-            if fresh:
-                counts += np.bincount(_slots(np.concatenate([s for _, s in fresh])), minlength=SLOTS)
-            n = len(sets)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                ["id", "node", "n", "cut", "counts"],
-            )
-        none = lambda t: pa.nulls(_CUTS, t)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingle_set(t, shingle) for t in part.column(2).to_pylist()]
+                nodes = [_node(s) for s in sets]
+                new = [seen.add(x) and len(s) > 1 for x, s in zip(nodes, sets)]
+                if any(new):
+                    counts += np.bincount(_slots(np.concatenate([s for s, x in zip(sets, new) if x])), minlength=SLOTS)
+                sieve = [s[: sieve_size(len(s), percent)].tobytes() if x else None for s, x in zip(sets, new)]
+                n = len(sets)
+                columns = [part.column(0), part.column(1), nodes, [len(s) for s in sets], sieve, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, schema)], schema=schema)
         parts = [p.tobytes() for p in np.split(counts, _CUTS)]
-        yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int32()), pa.array(range(_CUTS), pa.int32()), pa.array(parts, pa.binary())], ["id", "node", "n", "cut", "counts"])
+        none = [pa.nulls(_CUTS, f.type) for f in schema][:5]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(range(_CUTS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     return work
 
@@ -145,43 +160,60 @@ def slot_counts(scanned: DataFrame) -> np.ndarray:
     return out
 
 
-POSTED = "dealt long, shingle long, node long, frequency int"
+POSTED = "shingle long, node long, frequency int"
 
 
-def _post(counts, heavy: int, shingle: int):
-    """Over (id, text): (dealt, shingle, node, frequency) of each set's shingles; frequency 0 where a list has to tell it.
+def _posted(nodes: list[int], sets: list[np.ndarray], slots: np.ndarray, heavy: int) -> pa.RecordBatch:
+    """(shingle, node, frequency) of the sets' shingles; frequency 0 where a list has to tell it."""
+    hashes = np.concatenate(sets)
+    often = slots[_slots(hashes)]
+    frequency = np.where(often > heavy, np.minimum(often, (1 << 31) - 1), 0).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), [len(s) for s in sets])), pa.array(frequency)], ["shingle", "node", "frequency"])
 
-    Rows of one shingle get the same ``dealt``; those of slots over ``heavy`` are dealt by node and shingle.
-    """
+
+def _post_sieve(counts, heavy: int):
+    """Over (node, sieve)"""
 
     def work(batches):
-        slots, seen = counts.value, _Seen()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                yield _posted(part.column(0).to_pylist(), [np.frombuffer(b, dtype=np.uint64) for b in part.column(1).to_pylist()], counts.value, heavy)
+
+    return work
+
+
+def _post_whole(counts, heavy: int, shingle: int):
+    """Over (text)"""
+
+    def work(batches):
+        seen = _Seen()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                sets = [s for t in batch.column(1).slice(at, 512).to_pylist() if len(s := shingle_set(t, shingle))]
-                fresh = seen.first([(_node(s), s) for s in sets])
-                if not fresh:
-                    continue
-                hashes = np.concatenate([s for _, s in fresh])
-                nodes = np.repeat(np.array([x for x, _ in fresh], dtype=np.int64), [len(s) for _, s in fresh])
-                often = slots[_slots(hashes)]
-                signed = hashes.view(np.int64)
-                frequency = np.where(often > heavy, np.minimum(often, (1 << 31) - 1), 0).astype(np.int32)
-                dealt = np.where(frequency > 0, signed ^ (nodes * np.int64(0x5851F42D4C957F2D)), signed)
-                yield pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(signed), pa.array(nodes), pa.array(frequency)], ["dealt", "shingle", "node", "frequency"])
+                sets = [s for t in batch.column(0).slice(at, 512).to_pylist() if len(s := shingle_set(t, shingle)) > 1]
+                fresh = [(x, s) for s in sets if seen.add(x := _node(s))]
+                if fresh:
+                    nodes, sets = zip(*fresh)
+                    yield _posted(list(nodes), list(sets), counts.value, heavy)
 
     return work
 
 
+def _lists(posted: DataFrame) -> DataFrame:
+    """(node, shingle, frequency) of the shingles that two nodes or more hold; a frequent one may come twice."""
+    dealt = F.when(F.col("frequency") > 0, F.xxhash64("node", "shingle")).otherwise(F.col("shingle"))
+    return posted.repartition(dealt).sortWithinPartitions("shingle", "node").mapInArrow(_shared, "node long, shingle long, frequency int")
+
+
 def _shared(batches):
-    """Over postings sorted by (dealt, shingle, node): (node, shingle, frequency) of all shingles of two nodes or more."""
+    """Over postings sorted by (shingle, node): (node, shingle, frequency) of all shingles of two nodes or more."""
 
     def out(shingle, nodes, frequency):
         return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(shingle), pa.array(frequency.astype(np.int32))], ["node", "shingle", "frequency"])
 
     tail, passing, last = None, None, 0  # the list read so far; or the shingle of a long one that goes out as it comes
     for batch in batches:
-        shingle, node, frequency = (batch.column(k).to_numpy() for k in (1, 2, 3))
+        shingle, node, frequency = (batch.column(k).to_numpy() for k in range(3))
         known = frequency > 0
         if known.any():
             yield out(shingle[known], node[known], frequency[known])
@@ -223,11 +255,6 @@ def _whole_lists(shingle, node, starts, out):
 RECORDS = "node long, n int, shared array<long>, first array<long>, subsets long, scanned long"
 
 
-def least_shared(n: int, percent: int) -> int:
-    """What a set of n has to share with a partner."""
-    return -(-n * percent // 100)
-
-
 def _records(percent: int):
     """Over (node, frequency, shingle) sorted so, the size of a node first as frequency -1: the sets that may have partners.
 
@@ -235,8 +262,10 @@ def _records(percent: int):
     """
 
     def record(node, n, shingles, often):
+        if not n:  # let through by the Bloom filter only
+            return None
         unshared, c = n - len(shingles), least_shared(n, percent)
-        if unshared > n - c or n < 2:
+        if unshared > n - c:
             return None
         first = shingles[: n - c + 2 - unshared]
         lists = often[: n - c + 1 - unshared]
@@ -269,14 +298,22 @@ def _record_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["node", "n", "shared", "first", "subsets", "scanned"])
 
 
-def records(docs: DataFrame, scanned: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, list_size: int = LIST) -> DataFrame:
+def records(texts: DataFrame, scanned: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, list_size: int = LIST) -> DataFrame:
     """The sets that may have partners, see ``RECORDS``."""
     counts = slot_counts(scanned)
     heavy = list_size + 4 * int(counts.sum()) // SLOTS
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
-    posted = docs.mapInArrow(_post(sent, heavy, shingle), POSTED)
-    listed = posted.repartition("dealt").sortWithinPartitions("dealt", "shingle", "node").mapInArrow(_shared, "node long, shingle long, frequency int")
-    sizes = scanned.filter("n > 0").groupBy("node").agg(F.max("n").cast("long").alias("shingle")).select("node", "shingle", F.lit(-1).alias("frequency"))
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
+    nodes = scanned.filter("n > 1").groupBy("node").agg(F.max("n").alias("n"))
+    smallest = F.ceil(F.col("n") * percent / 100)  # size of a partner
+    needed = F.least(smallest, smallest - F.ceil(smallest * percent / 100) + 1)
+    sieved = _lists(scanned.filter("sieve IS NOT NULL").select("node", "sieve").mapInArrow(_post_sieve(sent, heavy), POSTED))
+    held = sieved.groupBy("node").agg(F.count_distinct("shingle").alias("held"))
+    passed = settle(nodes.join(held, "node").filter(F.col("held") >= needed).select("node", "n"))
+    marks = settle(scanned.filter("n > 1").select("mark", "node").join(passed, "node").select("mark").distinct())
+    bits = bits_for(marks.count())
+    again = texts.filter(may_repeat("mark", repeated_bitmap(marks, "mark", bits, least=1), bits)).select("text")
+    listed = _lists(again.mapInArrow(_post_whole(sent, heavy, shingle), POSTED))
+    sizes = passed.select("node", F.col("n").cast("long").alias("shingle"), F.lit(-1).alias("frequency"))
     by_node = listed.unionByName(sizes).select("node", "frequency", "shingle")
     return settle(by_node.repartition("node").sortWithinPartitions("node", "frequency", "shingle").mapInArrow(_records(percent), RECORDS))
 
@@ -349,8 +386,9 @@ def links(sets: DataFrame, percent: int = PERCENT, cut: int | None = None) -> Da
 
 def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, cut: int | None = None, list_size: int = LIST) -> DataFrame:
     """A row per document: id, n_shingles, component (the smallest id that links reach)."""
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    scanned = settle(texts.mapInArrow(_scan(shingle), SCAN))
+    text = F.col(text_column)
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_of(text_column)).alias("mark"), text.alias("text"))
+    scanned = settle(texts.mapInArrow(_scan(percent, shingle), SCAN))
     rows = scanned.filter("cut IS NULL").select("id", "node", "n")
     least = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     roots = links(records(texts, scanned, percent, shingle, list_size), percent, cut)
