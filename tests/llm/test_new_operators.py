@@ -184,3 +184,12 @@ def test_long_lists_go_out_as_they_come(monkeypatch):
             numbers.setdefault(shingle, set()).add(frequency)
         assert {(s, n) for n, s, _ in got} == {(s, n) for s, nodes in lists.items() if len(nodes) > 1 for n in nodes}
         assert all(len(f) == 1 and (f == {len(lists[s])} or len(lists[s]) > 50) for s, f in numbers.items())
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for size in (1, 50, 3000):
+        a = set(rng.integers(-(2**62), 2**62, size).tolist())
+        b = set(sorted(a)[: size // 2]) | set(rng.integers(-(2**62), 2**62, 40).tolist())
+        bits = sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(jaccard_join.parities(list(a)), jaccard_join.parities(list(b))))
+        assert 0 < bits <= len(a ^ b)

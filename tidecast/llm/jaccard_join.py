@@ -17,8 +17,11 @@ each puts out the 2 * (n - c) + 1 shingles with the smallest hashes, of which pa
 smaller one's n'. Only what passes puts out all its shingles; those that others hold are kept, and they suffice to
 count intersections.
 
-Candidates are sought in rounds and only between sets that aren't joined yet: under each key the first 1, then 4, 16
-... sets are compared with all others of the key, each pair once over all keys, and verified by its exact intersection.
+Candidates are sought in rounds and only between sets that aren't joined yet: under each key the first set, then the next
+31, then all up to 1024 ... are compared with all others of the key. Where they meet, the parities of ``64 * WORDS`` hashed
+groups of shingles and the numbers of unshared ones give a lower bound of the sets' difference that discards most pairs;
+each one left is taken once over all keys and verified by its exact intersection. Keys that bring the same sets together
+count once.
 A group of n alike sets so gives n - 1 pairs and not their square; rounds end when no key has sets of two
 components that weren't compared.
 
@@ -53,6 +56,8 @@ SLOTS = 1 << 18
 _CUTS = 32  # parts in which slot counts are summed
 LIST = 1 << 16
 _BUFFER = 1 << 20
+WORDS = 16  # longs of parities a set
+MORE = 32  # times as many sets of a key are compared in each round
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -252,7 +257,13 @@ def _whole_lists(shingle, node, starts, out):
         yield out(shingle[keep], node[keep], frequency[keep])
 
 
-RECORDS = "node long, n int, shared array<long>, first array<long>, subsets long, scanned long"
+RECORDS = "node long, n int, shared array<long>, first array<long>, subsets long, scanned long, unshared int, parities array<long>"
+
+
+def parities(shingles: list[int]) -> list[int]:
+    """Bit b tells whether the number of shingles that are b modulo the bits is odd; sets differ in no fewer shingles than bits."""
+    odd = np.bincount(np.array(shingles, dtype=np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def _records(percent: int):
@@ -269,7 +280,7 @@ def _records(percent: int):
             return None
         first = shingles[: n - c + 2 - unshared]
         lists = often[: n - c + 1 - unshared]
-        return node, n, sorted(shingles), first, len(first) * (len(first) - 1) // 2, sum(lists)
+        return node, n, sorted(shingles), first, len(first) * (len(first) - 1) // 2, sum(lists), unshared, parities(shingles)
 
     def work(batches):
         node, n, shingles, often = None, 0, [], []
@@ -294,8 +305,8 @@ def _records(percent: int):
 
 
 def _record_batch(rows):
-    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["node", "n", "shared", "first", "subsets", "scanned"])
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["node", "n", "shared", "first", "subsets", "scanned", "unshared", "parities"])
 
 
 def records(texts: DataFrame, scanned: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, list_size: int = LIST) -> DataFrame:
@@ -351,25 +362,33 @@ def links(sets: DataFrame, percent: int = PERCENT, cut: int | None = None) -> Da
     """(node, root) of the nodes that have a link."""
     cut = boundary(sets) if cut is None else cut
     filed = keys(sets, cut, percent)
-    many = filed.groupBy("of", "key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("of", "key")
-    filed = settle(filed.join(many, ["of", "key"]))
+    members = [F.count(F.lit(1)).alias("held"), F.expr("bit_xor(xxhash64(node))").alias("mix"), F.min("node").alias("a"), F.max("node").alias("z")]
+    alike = filed.groupBy("of", "key").agg(*members).filter("held > 1")
+    once = alike.groupBy("of", "held", "mix", "a", "z").agg(F.min("key").alias("key")).select("of", "key", "held")
+    filed = settle(filed.join(settle(once), ["of", "key"]))
     content = sets.select("node", "shared")
-    roots, linked, tested, first = None, None, None, 1
+    bits = [f"p{k}" for k in range(WORDS)]
+    known = sets.select("node", "unshared", *[F.element_at("parities", k + 1).alias(b) for k, b in enumerate(bits)])
+    roots, linked, tested, done, upto = None, None, None, 0, 1
     while True:
         labelled = filed.withColumn("root", F.col("node"))
         if roots is not None:
             labelled = filed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = labelled.groupBy("of", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("held"))
-        mixed = settle(mixed.filter("low < high").select("of", "key", "held"))
+        mixed = labelled.groupBy("of", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("held").alias("most"))
+        mixed = settle(mixed.filter("low < high").select("of", "key", "most"))
         if mixed.isEmpty():
             break
-        open_rows = settle(labelled.join(mixed, ["of", "key"]))
+        open_rows = settle(labelled.join(mixed.select("of", "key"), ["of", "key"]).join(known, "node"))
         order = Window.partitionBy("of", "key").orderBy(F.xxhash64("node"), "node")
-        centres = open_rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= first)
-        centres = settle(centres.select("of", "key", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("root").alias("croot"), F.col("large").alias("clarge")))
-        met = open_rows.join(centres, ["of", "key"]).filter("node <> c AND root <> croot AND (of = 2 OR large OR clarge)")
-        met = met.filter(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent)
-        pairs = met.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"), (F.col("n") + F.col("cn")).alias("n")).distinct()
+        places = open_rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= upto)
+        theirs = {c: f"c_{c}" for c in ("node", "n", "root", "large", "unshared", *bits)}
+        centres = settle(places.filter(F.col("place") > done).select("of", "key", *[F.col(c).alias(x) for c, x in theirs.items()]))
+        differ = F.col("unshared") + F.col("c_unshared")
+        for b in bits:
+            differ = differ + F.bit_count(F.col(b).bitwiseXOR(F.col(f"c_{b}")))
+        met = open_rows.join(centres, ["of", "key"]).filter("root <> c_root AND (of = 2 OR large OR c_large)")
+        met = met.filter(differ * (100 + percent) <= (F.col("n") + F.col("c_n")) * (100 - percent))  # sizes are in it
+        pairs = met.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b"), (F.col("n") + F.col("c_n")).alias("n")).distinct()
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         left = pairs.join(content.toDF("a", "as"), "a").join(content.toDF("b", "bs"), "b")
         common = F.size(F.array_intersect("as", "bs"))
@@ -378,9 +397,9 @@ def links(sets: DataFrame, percent: int = PERCENT, cut: int | None = None) -> Da
         found = judged.filter("links").select("a", "b")
         linked = found if linked is None else linked.unionByName(found)
         roots = connected_components(linked).select("node", "root")
-        if first >= mixed.agg(F.max("held")).first()[0]:
+        if upto >= mixed.agg(F.max("most")).first()[0]:
             break
-        first *= 4
+        done, upto = upto, upto * MORE
     return sets.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
 
 
