@@ -13,6 +13,7 @@ from tidecast.operators import metrics as m
 from tidecast.operators import structural as st
 from tidecast.operators.folds import in_fold
 from tidecast.operators.regression import fit_xreg, forecast_with, forecast_xreg
+from tidecast.operators.regression_ar import fit_xreg_ar, forecast_xreg_ar
 from tidecast.operators.routing import classify_volatility, route_models
 from tidecast.operators.seasonal import forecast_zero_shot
 from tidecast.plans.retrain import retrain
@@ -51,6 +52,23 @@ def forecast_regression(b: Bound):
     return _forecast(forecast_xreg(fit_xreg(in_fold(daily, FOLDS, "train")), features))
 
 
+@case(
+    f"""SELECT fold_name, ad_unit, last_date, n, {r('intercept', 4)} AS intercept, {r('sigma', 4)} AS sigma, {r('phi', 6)} AS phi,
+    {r('last_e', 4)} AS last_e, {r('c1', 4)} AS c1, {r('c2', 4)} AS c2, {r('c3', 4)} AS c3, {r('c4', 4)} AS c4 FROM x_ar"""
+)
+def fit_regression_with_ar(b: Bound):
+    fitted = fit_xreg_ar(in_fold(b.daily_wide, FOLDS, "train"))
+    flat = fitted.select("*", *[F.element_at("coefficients", i).alias(f"c{i}") for i in range(1, 5)]).drop("coefficients")
+    return rounded(rounded(flat, 4, "intercept", "sigma", "last_e", "c1", "c2", "c3", "c4"), 6, "phi")
+
+
+@case(f"SELECT {_FC} FROM x_ar_fc")
+def forecast_regression_with_ar(b: Bound):
+    daily = b.daily_wide_kept
+    features = fold_features(daily, b.holidays, FOLDS)
+    return _forecast(forecast_xreg_ar(fit_xreg_ar(in_fold(daily, FOLDS, "train")), features))
+
+
 _HISTORY = ("spike", "level", "trend", "weekly", "yearly", "holiday", "e")
 
 

@@ -134,13 +134,21 @@ def zero_shot(train: str) -> str:
             v + {Z95} * s * sqrt(1 + (h - 1) // 7) AS forecast_upper FROM jn"""
 
 
+def _regressors(train: str) -> str:
+    return f"""SELECT fold_name, ad_unit, date, daily_impressions::DOUBLE AS y, day_of_week::DOUBLE AS x1,
+                 is_weekend::INT::DOUBLE AS x2, is_holiday::INT::DOUBLE AS x3,
+                 coalesce(days_to_next_holiday, 0)::DOUBLE AS x4 FROM {train}"""
+
+
 def regression_fit(train: str) -> str:
+    return least_squares(_regressors(train))
+
+
+def least_squares(rows: str) -> str:
     """Least squares by making each regressor uncorrelated with the ones before it."""
     w = "OVER (PARTITION BY fold_name, ad_unit)"
     return f"""
-        WITH q0 AS (SELECT fold_name, ad_unit, date, daily_impressions::DOUBLE AS y, day_of_week::DOUBLE AS x1,
-                 is_weekend::INT::DOUBLE AS x2, is_holiday::INT::DOUBLE AS x3,
-                 coalesce(days_to_next_holiday, 0)::DOUBLE AS x4 FROM {train}),
+        WITH q0 AS ({rows}),
              q1 AS (SELECT *, regr_slope(x2, x1) {w} AS b21 FROM q0),
              q2 AS (SELECT *, x2 - b21 * x1 AS z2 FROM q1),
              q3 AS (SELECT *, regr_slope(x3, x1) {w} AS b31, regr_slope(x3, z2) {w} AS b32 FROM q2),
@@ -158,6 +166,34 @@ def regression_fit(train: str) -> str:
             h2 - h3 * b32 AS c2, h3 AS c3, c4 FROM q9"""
 
 
+AR_ROUNDS = 8
+_X = [f"x{k}" for k in range(1, 5)]
+_C = [f"c{k}" for k in range(1, 5)]
+
+
+def regression_ar(train: str) -> dict[str, str]:
+    """Least squares of quasi-differences and the slope of its residuals in turn, as one named query a step."""
+    lags = ", ".join(f"lag({c}) OVER (PARTITION BY fold_name, ad_unit ORDER BY date) AS l{c}" for c in ["y", *_X])
+    out = {"x_ar_rows": f"SELECT *, {lags} FROM ({_regressors(train)})"}
+    for step in range(AR_ROUNDS + 1):
+        phi = "0.0" if step == 0 else "p.phi"
+        source = "x_ar_rows q" if step == 0 else f"x_ar_rows q JOIN x_ar_phi{step} p ON p.fold_name = q.fold_name AND p.ad_unit = q.ad_unit"
+        differences = ", ".join(f"{c} - {phi} * l{c} AS {c}" for c in ["y", *_X])
+        out[f"x_ar_flat{step}"] = least_squares(f"SELECT q.fold_name, q.ad_unit, q.date, {differences} FROM {source} WHERE ly IS NOT NULL")
+        if step == 0:
+            out["x_ar_fit0"] = "SELECT *, 0.0::DOUBLE AS phi FROM x_ar_flat0"
+        else:
+            out[f"x_ar_fit{step}"] = f"""SELECT b.* REPLACE (b.intercept / (1 - p.phi) AS intercept), p.phi FROM x_ar_flat{step} b
+                JOIN x_ar_phi{step} p ON p.fold_name = b.fold_name AND p.ad_unit = b.ad_unit"""
+        e = "q.y - b.intercept - " + " - ".join(f"b.{c} * q.{x}" for c, x in zip(_C, _X))
+        e1 = "q.ly - b.intercept - " + " - ".join(f"b.{c} * q.l{x}" for c, x in zip(_C, _X))
+        out[f"x_ar_phi{step + 1}"] = f"""SELECT q.fold_name, q.ad_unit, greatest(-0.98, least(0.98, sum(({e}) * ({e1})) / sum(({e1}) * ({e1})))) AS phi
+            FROM x_ar_rows q JOIN x_ar_fit{step} b ON b.fold_name = q.fold_name AND b.ad_unit = q.ad_unit WHERE q.ly IS NOT NULL GROUP BY ALL"""
+    out["x_ar"] = f"""SELECT b.* REPLACE (b.n + 1 AS n), {e} AS last_e FROM x_ar_fit{AR_ROUNDS} b
+        JOIN x_ar_rows q ON q.fold_name = b.fold_name AND q.ad_unit = b.ad_unit AND q.date = b.last_date"""
+    return out
+
+
 def regression_forecast(fit: str, features: str) -> str:
     return f"""
         WITH v AS (SELECT f.date, f.ad_unit, f.fold_name, p.sigma, p.intercept + p.c1 * f.day_of_week
@@ -357,6 +393,14 @@ LIBRARY: dict[str, str] = {
     "x_reg_wide": regression_fit("x_train_wide"),
     "x_xreg": regression_forecast("x_reg", "x_future"),
     "x_xreg_wide": regression_forecast("x_reg_wide", "x_future_wide"),
+    **regression_ar("x_train_wide"),
+    "x_ar_fc": f"""WITH v AS (SELECT f.date, f.ad_unit, f.fold_name, f.date - p.last_date AS h, p.sigma, p.phi,
+        p.intercept + p.c1 * f.day_of_week + p.c2 * f.is_weekend::INT + p.c3 * f.is_holiday::INT
+        + p.c4 * coalesce(f.days_to_next_holiday, 0) + p.phi ** (f.date - p.last_date) * p.last_e AS v
+        FROM x_future_wide f JOIN x_ar p ON p.fold_name = f.fold_name AND p.ad_unit = f.ad_unit WHERE f.date > p.last_date),
+        s AS (SELECT *, {Z95} * sigma * sqrt((1 - phi ** (2 * h)) / (1 - phi * phi)) AS half FROM v)
+        SELECT date AS forecast_date, ad_unit, 'structural_xreg' AS model_name, fold_name, v AS forecast_value,
+            v - half AS forecast_lower, v + half AS forecast_upper FROM s""",
     "x_fc": "SELECT * FROM x_zero UNION ALL SELECT * FROM x_xreg",
     "x_fc_wide": "SELECT * FROM x_zero_wide UNION ALL SELECT * FROM x_xreg_wide",
     "x_fc_all": "SELECT * FROM x_fc UNION ALL SELECT * FROM x_st_fc",

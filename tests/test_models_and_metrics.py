@@ -13,6 +13,7 @@ from tidecast.operators import metrics as m
 from tidecast.operators import structural
 from tidecast.operators.folds import in_fold
 from tidecast.operators.regression import fit_xreg, forecast_with, forecast_xreg
+from tidecast.operators.regression_ar import fit_xreg_ar, forecast_xreg_ar, solve
 from tidecast.operators.routing import classify_volatility, route_models
 from tidecast.operators.seasonal import forecast_zero_shot
 from tidecast.plans.retrain import retrain
@@ -125,6 +126,45 @@ def test_regression_without_variation(spark, holidays):
     assert forecast_xreg(params, fold_features(df, holidays, [f])).count() == 5
 
 
+def test_regression_with_lasting_errors(spark, holidays):
+    """Planted coefficients and phi are recovered; bounds start narrow and widen to the errors' own spread."""
+    rng, n = np.random.default_rng(8), 700
+    plain = daily(spark, {"A": [1] * n, "B": [5] * n, "C": [9] + [None] * (n - 1)}, holidays)
+    local = plain.filter("ad_unit = 'A'").orderBy("date").toPandas()
+    e = np.zeros(n)
+    for t in range(1, n):
+        e[t] = 0.8 * e[t - 1] + rng.normal(0, 20)
+    y = np.round(1000 + 30 * local.day_of_week + 200 * local.is_holiday.astype(int) + e).astype(int).tolist()
+    df = daily(spark, {"A": y, "B": [5] * n, "C": [9] + [None] * (n - 1)}, holidays)
+    f = fold(n, 10)
+    params = fit_xreg_ar(in_fold(df, [f], "train"))
+    got = {r.ad_unit: r for r in params.collect()}
+    assert got["A"].phi == pytest.approx(0.8, abs=0.06) and got["A"].sigma == pytest.approx(20, rel=0.1)
+    assert got["A"].coefficients[0] == pytest.approx(30, abs=3) and got["A"].coefficients[2] == pytest.approx(200, abs=25)
+    assert got["B"].intercept == 5.0 and got["B"].phi == 0.0 and got["B"].sigma == 0.0 and got["C"].intercept == 9.0
+    # a fixed point: least squares of the quasi-differences by another way, and the slope of its residuals
+    x = np.column_stack([np.ones(n), local.day_of_week, local.is_weekend.astype(int), local.is_holiday.astype(int), local.days_to_next_holiday.fillna(0)]).astype(float)
+    phi, y = got["A"].phi, np.array(y, dtype=float)
+    beta, *_ = np.linalg.lstsq(x[1:] - phi * x[:-1], y[1:] - phi * y[:-1], rcond=None)
+    rest = y - x @ beta
+    assert [got["A"].intercept, *got["A"].coefficients] == pytest.approx(beta.tolist(), rel=1e-6)
+    assert (rest[1:] @ rest[:-1]) / (rest[:-1] @ rest[:-1]) == pytest.approx(phi, abs=1e-4) and got["A"].last_e == pytest.approx(rest[-1], rel=1e-6)
+    rows = forecast_xreg_ar(params, fold_features(df, holidays, [f])).filter("ad_unit = 'A'").orderBy("forecast_date").collect()
+    half = [r.forecast_upper - r.forecast_value for r in rows]
+    assert half[0] == pytest.approx(1.959964 * got["A"].sigma, rel=1e-6) and half == sorted(half) and half[-1] < 1.96 * got["A"].sigma / 0.58
+    later = np.array([r.forecast_value for r in rows])
+    assert abs(later[0] - y[-1]) < 400 and len(rows) == 10
+
+
+def test_solve_leaves_mixed_columns_out():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 3))
+    x = np.column_stack([x, x[:, 0] + x[:, 1]])
+    y = x @ np.array([1.0, 2.0, 3.0, 0.0])
+    beta, used = solve(x.T @ x, x.T @ y)
+    assert used == 3 and beta == pytest.approx([1, 2, 3, 0])
+
+
 def wave(n, step_at=None, spike_at=None):
     out = []
     for i in range(n):
