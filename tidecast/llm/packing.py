@@ -30,6 +30,7 @@ OPEN_BINS = 512
 PIECES_PER_TASK = 1 << 16
 END_ID = b"\0\0\0\0"
 KNOWN_WORDS = 600_000
+SLICE = 256
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -45,7 +46,7 @@ class WordTokenizer:
     LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
     DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
     PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{LETTERS}{DIGITS}\\x09-\\x0d\\x20\x85\xa0]+")
-    ODD = re.compile("[^\x00-\x1b\x20-\xff]|<\\|")
+    ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -72,15 +73,24 @@ class WordTokenizer:
         for word, parts in zip(words, split):
             self.words[word] = b"".join([self.parts[p] for p in parts])
 
+    def _whole(self, text: str) -> bool:
+        """Whether the tokenizer has to see the text as it is."""
+        if any(sign in text for sign in self.ODD):
+            return True
+        try:
+            return not text.isascii() and not text.encode("latin-1")
+        except UnicodeEncodeError:
+            return True
+
     def encode(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         if len(self.words) > KNOWN_WORDS:
             self.words, self.parts = {}, {}
-        plain = [None if self.ODD.search(t) else t.lower().split() for t in texts]
-        unknown = [w for w in set().union(*(p for p in plain if p)) if w not in self.words]
+        plain = [None if self._whole(t) else t.lower().split() for t in texts]
+        unknown = set().union(*(p for p in plain if p)).difference(self.words)
         if unknown:
-            self._learn(unknown)
+            self._learn(sorted(unknown))
         of = self.words.__getitem__
         return [
             b"".join(map(of, p)) if p is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -111,9 +121,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
         coder = _tokenizer(tokenizer_path)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 64):
-                coded = coder.encode([t or "" for t in texts.slice(at, 64).to_pylist()])
-                rows = [(i, *piece) for i, c in zip(ids[at : at + 64], coded) for piece in cut(c + END_ID, capacity)]
+            for at in range(0, len(ids), SLICE):
+                coded = coder.encode([t or "" for t in texts.slice(at, SLICE).to_pylist()])
+                rows = [(i, *piece) for i, c in zip(ids[at : at + SLICE], coded) for piece in cut(c + END_ID, capacity)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
