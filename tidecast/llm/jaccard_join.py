@@ -18,7 +18,7 @@ smaller one's n'. Only what passes puts out all its shingles; those that others
 count intersections.
 
 Candidates are sought in rounds and only between sets that aren't joined yet: under each key the first set, then the next
-31, then all up to 1024 ... are compared with all others of the key. Where they meet, the parities of ``64 * WORDS`` hashed
+3, then all up to the 16th ... are compared with all others of the key. Where they meet, the parities of ``64 * WORDS`` hashed
 groups of shingles and the numbers of unshared ones give a lower bound of the sets' difference that discards most pairs;
 each one left is taken once over all keys and verified by its exact intersection. Keys that bring the same sets together
 count once.
@@ -57,7 +57,7 @@ _CUTS = 32  # parts in which slot counts are summed
 LIST = 1 << 16
 _BUFFER = 1 << 20
 WORDS = 16  # longs of parities a set
-MORE = 32  # times as many sets of a key are compared in each round
+MORE = 4  # times as many sets of a key are compared in each round
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
