@@ -7,6 +7,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidecast.llm import decontamination, exact_dedup, html_extract, language_id, packing, quality, queries, secret_scan, simhash, url_rules
 from tidecast.llm.components import connected_components
 
@@ -99,6 +101,43 @@ def test_secret_spans():
     assert secret_scan.scan(None) == ([], []) and secret_scan.scan("the key is here: no") == ([], [])
 
 
+SECRET = "Zx81Qp77LmV2"
+
+
+@pytest.mark.parametrize(
+    "code",
+    [
+        f'a = "{SECRET}"\nb = a\ndb_password = b\n',
+        f'db_password = b\nb = a\na = "{SECRET}"\n',
+        f'a = "{SECRET}"; b = a\nc = b\ndb_password = c',
+        f'private static final String b = "{SECRET}";\nconn.password = b;',
+        f'b: str = "{SECRET}"\nclient_secret = b',
+        f'b: dict = "{SECRET}"\nfn(api_token=b)',
+        f'client_secret: str = "{SECRET}"',
+        f'db_password =\n    "{SECRET}"\n',
+        f'db_password = (\n    "{SECRET}"\n)\n',
+        f'db_password = \\\n    "{SECRET}"\n',
+        f"password:\n  '{SECRET}'\n",
+        "\n".join([f'v0 = "{SECRET}"', *(f"v{k + 1} = v{k}" for k in range(3000)), "db_password = v3000"]),
+        "\n".join(["db_password = v3000", *(f"v{k + 1} = v{k}" for k in reversed(range(3000))), f'v0 = "{SECRET}"']),
+    ],
+)
+def test_secret_constants_are_followed(code):
+    assert {code[a:z] for a, z, _ in secret_scan.literal_spans(code, [])} == {SECRET}
+
+
+def test_secret_sums():
+    spans = lambda code: [code[a:z] for a, z, _ in secret_scan.literal_spans(code, [])]
+    assert spans('b = "p77LmV2x"\ndb_password = "Zx81Q" + b\n') == ["p77LmV2x", "Zx81Q"]
+    assert spans('db_password = "Zx81Q" +\n  "p77LmV2x"\n') == ['Zx81Q" +\n  "p77LmV2x']
+    assert spans('db_password = ("Zx81Q"\n  "p77LmV2x")\n') == ['Zx81Q"\n  "p77LmV2x']
+    assert spans("password = a\na = b\nb = a\n") == []  # a circle has no value
+    assert spans("the token:\nSomeWord99Qz is next\n") == []  # a bare word on another line is not assigned
+    doubled = 'a0 = "Zx81Qp77"\n' + "".join(f"a{k + 1} = a{k} + a{k}\n" for k in range(60)) + "db_password = a60"
+    assert spans(doubled) == []  # longer than MAX_SUM
+    assert secret_scan.literal_spans('db_token = "' + "Zx81Qp77" * 40_000 + '"', []) != []
+
+
 def test_contamination_against_brute_force(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
@@ -137,6 +176,12 @@ def test_url_rules(spark):
         ("com/fr/", "allow"), ("com/de/", "block"), (None, "allow"), (None, "block"),
     ]
     assert (rows[3]["host"], rows[3]["path"], rows[0]["host"], rows[2]["path"]) == ("a.example.org", "/es/x", "", "")
+    # A host needs as many labels in a large table as in a small one; long paths and repeated rows are mined all the same.
+    many = labelled.unionByName(spark.range(30_000).selectExpr("concat('http://h', id % 900, '.com/', repeat('p/', 40), id) AS url", "'allow' AS verdict"))
+    many = many.unionByName(spark.range(40).selectExpr("concat('http://long.net/', array_join(transform(sequence(1, 60), x -> concat('segment', x)), '/')) AS url", "'block' AS verdict"))
+    assert url_rules.judge(pages, many, queries.URL_RULES).filter("page_id = 8").first()["verdict"] == "block"
+    parsed = many.select(url_rules.tokens_of(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("tokens"), "verdict")
+    assert url_rules.mine_rules(parsed, min_count=10, max_labelled=9_000).filter("verdict = 'block' AND array_contains(tokens, 'host:spam')").count() > 0
     assert url_rules.judge(pages, labelled.limit(0), queries.URL_RULES).filter("mined_rule IS NOT NULL").count() == 0
 
 
