@@ -12,6 +12,7 @@ from tidecast.config import MODELS, STRUCTURAL, ZERO_SHOT
 from tidecast.operators import metrics as m
 from tidecast.operators import structural as st
 from tidecast.operators.folds import in_fold
+from tidecast.operators.moving_average import fit_moving_average
 from tidecast.operators.regression import fit_xreg, forecast_with, forecast_xreg
 from tidecast.operators.regression_ar import fit_xreg_ar, forecast_xreg_ar
 from tidecast.operators.routing import classify_volatility, route_models
@@ -154,6 +155,19 @@ def arima_coefficients(b: Bound):
     )
 
 
+@case(
+    f"""SELECT fold_name, ad_unit, p::BIGINT AS non_seasonal_p, d::BIGINT AS non_seasonal_d, q::BIGINT AS non_seasonal_q,
+    'ARIMA(' || p || ',' || d || ',' || q || ')' AS arima_order, CASE WHEN p = 1 THEN {r('phi', 6)} END AS ar_1, CASE WHEN q = 1 THEN {r('theta', 6)} END AS ma_1,
+    {r('mean', 4)} AS intercept_or_drift, {r('variance', 3)} AS variance, {r('aic', 3)} AS aic,
+    CASE WHEN aic IS NOT NULL THEN {r('-0.5 * n * (ln(2 * pi() * variance) + 1)', 3)} END AS log_likelihood FROM x_sw_ma"""
+)
+def arima_moving_average(b: Bound):
+    fitted = fit_moving_average(in_fold(b.daily_wide, FOLDS, "train"), b.holidays)
+    terms = {"ar_1": F.round(F.get("ar_coefficients", F.lit(0)), 6), "ma_1": F.round(F.get("ma_coefficients", F.lit(0)), 6)}
+    out = fitted.withColumns(terms).drop("ar_coefficients", "ma_coefficients")
+    return rounded(rounded(out, 3, "variance", "aic", "log_likelihood"), 4, "intercept_or_drift")
+
+
 @case(
     """SELECT u.fold_name, u.ad_unit, u.last_date + h::INTEGER AS forecast_date, u.v::DOUBLE AS forecast_value FROM
     (SELECT fold_name, ad_unit, max(date) AS last_date, arg_max(daily_impressions, date) AS v FROM x_train_wide GROUP BY ALL) u,

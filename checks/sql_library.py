@@ -299,6 +299,41 @@ def _structural(prefix: str, train: str) -> dict[str, str]:
     }
 
 
+def _moving_average(prefix: str, order: int = 7) -> dict[str, str]:
+    """Two-stage regression on the remainder: long autoregression, then last value and last surprise."""
+    p, lags, by = prefix, range(1, order + 1), "fold_name, ad_unit"
+    long = f"SELECT *, r0 AS v0 FROM {p}_acov"
+    for k in lags:
+        explained = "".join(f" - p{k - 1}_{j} * r{k - j}" for j in range(1, k))
+        long = f"SELECT *, CASE WHEN v{k - 1} > 1e-9 * r0 THEN (r{k}{explained}) / v{k - 1} ELSE 0 END AS p{k}_{k} FROM ({long})"
+        updated = "".join(f", p{k - 1}_{j} - p{k}_{k} * p{k - 1}_{k - j} AS p{k}_{j}" for j in range(1, k))
+        long = f"SELECT *, v{k - 1} * (1 - p{k}_{k} ** 2) AS v{k}{updated} FROM ({long})"
+
+    def clip(over: str, under: str, least: str = "0") -> str:
+        return f"least(greatest(CASE WHEN {under} > {least} THEN ({over}) / ({under}) ELSE 0 END, -0.98), 0.98)"
+
+    det = "(v1 * va - c1a * c1a)"
+    both = [clip(x, det, "1e-9 * v1 * va") for x in ("c1 * va - ca * c1a", "ca * v1 - c1 * c1a")]
+    orders = [(0, 0, "0.0", "0.0"), (1, 0, clip("c1", "v1"), "0.0"), (0, 1, "0.0", clip("ca", "va")), (1, 1, *both)]
+    tried = " UNION ALL ".join(f"SELECT *, {i} AS rank, {a} AS p, {q} AS q, {f} AS phi, {t} AS theta FROM {p}_mom" for i, (a, q, f, t) in enumerate(orders))
+    error = "vx - 2 * phi * c1 - 2 * theta * ca + phi ** 2 * v1 + theta ** 2 * va + 2 * phi * theta * c1a"
+    return {
+        f"{p}_z": f"""SELECT *, CASE WHEN d = 0 THEN e ELSE de END - mean AS z0 FROM (SELECT {by}, l.date, l.e, l.de, f.d,
+            avg(CASE WHEN f.d = 0 THEN l.e ELSE l.de END) OVER (PARTITION BY {by}) AS mean FROM {p}_lag l JOIN {p}_fit f USING ({by}))""",
+        f"{p}_zl": f"""SELECT *, {', '.join(f'lag(z0, {k}) OVER w AS z{k}' for k in lags)} FROM {p}_z WINDOW w AS (PARTITION BY {by} ORDER BY date)""",
+        f"{p}_acov": f"SELECT {by}, {', '.join(f'coalesce(sum(z0 * z{k}) / count(z0), 0) AS r{k}' for k in (0, *lags))} FROM {p}_zl GROUP BY ALL",
+        f"{p}_sur": f"SELECT z.*, z0 {' '.join(f'- p{order}_{k} * z{k}' for k in lags)} AS a FROM {p}_zl z JOIN ({long}) USING ({by})",
+        f"{p}_mom": f"""SELECT {by}, d, mean, count(a1) AS n, max(spread) AS spread, var_pop(z0) FILTER (a1 IS NOT NULL) AS vx,
+            var_pop(z1) FILTER (a1 IS NOT NULL) AS v1, var_pop(a1) AS va, covar_pop(z0, z1) FILTER (a1 IS NOT NULL) AS c1,
+            covar_pop(z0, a1) AS ca, covar_pop(z1, a1) AS c1a
+            FROM (SELECT *, lag(a) OVER (PARTITION BY {by} ORDER BY date) AS a1, var_pop(z0) OVER (PARTITION BY {by}) AS spread FROM {p}_sur) GROUP BY ALL""",
+        f"{p}_ma": f"""SELECT {by}, d, coalesce(mean, 0) AS mean, n, p, q, phi, theta, CASE WHEN n < 14 THEN coalesce(spread, 0) ELSE variance END AS variance,
+            CASE WHEN n >= 14 THEN aic END AS aic FROM (SELECT *, round(n * ln(variance) + 2.0 * (1 + p + q), 6) AS aic
+            FROM (SELECT *, greatest({error}, 1e-9) AS variance FROM ({tried}))) WHERE n >= 14 OR rank = 0
+            QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY aic, rank) = 1""",
+    }
+
+
 def _scores(forecasts: str, daily: str) -> str:
     return f"""
         WITH nv AS (SELECT fold_name, ad_unit, avg(abs(df)) AS ne FROM (
@@ -419,6 +454,7 @@ LIBRARY: dict[str, str] = {
     "x_gd": _values(GUIDANCE, "category, level, guidance"),
     **_structural("x_st", "x_train"),
     **_structural("x_sw", "x_train_wide"),
+    **_moving_average("x_sw"),
     "x_rt_train": """SELECT *, 'retrain' AS fold_name FROM x_daily
         WHERE date BETWEEN DATE '2001-11-04' - 730 AND DATE '2001-11-04' - 92""",
     **_structural("x_rt", "x_rt_train"),
