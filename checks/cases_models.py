@@ -17,6 +17,7 @@ from tidecast.operators.regression import fit_xreg, forecast_with, forecast_xreg
 from tidecast.operators.regression_ar import fit_xreg_ar, forecast_xreg_ar
 from tidecast.operators.routing import classify_volatility, route_models
 from tidecast.operators.seasonal import forecast_zero_shot
+from tidecast.operators.seasons import season_table
 from tidecast.plans.retrain import retrain
 from tidecast.plans.walk_forward import fold_features, run_walk_forward
 
@@ -168,6 +169,18 @@ def arima_moving_average(b: Bound):
     return rounded(rounded(out, 3, "variance", "aic", "log_likelihood"), 4, "intercept_or_drift")
 
 
+@case(
+    f"""SELECT fold_name, ad_unit, x_sea_n.n, {r('max(r) FILTER (q.k = 7)', 6)} AS r_7, {r('max(r) FILTER (q.k = 30)', 6)} AS r_30,
+    coalesce((SELECT string_agg(s.k, ',' ORDER BY s.k) FROM x_sea s WHERE s.fold_name = x_sea_n.fold_name AND s.ad_unit = x_sea_n.ad_unit), '') AS periods
+    FROM x_sea_n LEFT JOIN x_sea_r q USING (fold_name, ad_unit) GROUP BY ALL"""
+)
+def seasons_of_series(b: Bound):
+    found = season_table(in_fold(b.daily_wide, FOLDS, "train"))
+    strengths = {f"r_{k}": F.round(F.get("r", F.lit(k - 1)), 6) for k in (7, 30)}
+    periods = F.coalesce(F.array_join(F.col("periods").cast("array<string>"), ","), F.lit(""))
+    return found.withColumns(strengths).select("fold_name", "ad_unit", "n", *strengths, periods.alias("periods"))
+
+
 @case(
     """SELECT u.fold_name, u.ad_unit, u.last_date + h::INTEGER AS forecast_date, u.v::DOUBLE AS forecast_value FROM
     (SELECT fold_name, ad_unit, max(date) AS last_date, arg_max(daily_impressions, date) AS v FROM x_train_wide GROUP BY ALL) u,

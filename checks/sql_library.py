@@ -334,6 +334,24 @@ def _moving_average(prefix: str, order: int = 7) -> dict[str, str]:
     }
 
 
+def seasons(train: str, longest: int = 60) -> dict[str, str]:
+    """Peaks of the autocorrelation of the differences of each series."""
+    by = "fold_name, ad_unit"
+    return {
+        "x_sea_d": f"""SELECT {by}, i - 1 AS i, u - avg(u) OVER (PARTITION BY {by}) AS x, size FROM (SELECT {by}, row_number() OVER w AS i,
+            daily_impressions - lag(daily_impressions) OVER w AS u, max(abs(daily_impressions)) OVER (PARTITION BY {by}) AS size
+            FROM {train} WINDOW w AS (PARTITION BY {by} ORDER BY date)) WHERE u IS NOT NULL""",
+        "x_sea_n": f"SELECT {by}, count(*) AS n, 5.0 / sqrt(count(*)) AS clear, sum(x * x) AS z, max(size) AS size FROM x_sea_d GROUP BY ALL",
+        "x_sea_r": f"""SELECT a.fold_name, a.ad_unit, q.k, coalesce(sum(a.x * b.x), 0) / max(z) AS r, max(n) AS n, max(clear) AS clear FROM x_sea_d a
+            JOIN x_sea_n USING ({by}) CROSS JOIN range(1, {longest + 2}) q(k) LEFT JOIN x_sea_d b
+            ON b.fold_name = a.fold_name AND b.ad_unit = a.ad_unit AND b.i = a.i + q.k WHERE z > 1e-12 * x_sea_n.size ** 2 GROUP BY ALL""",
+        "x_sea_p": f"""SELECT * FROM (SELECT *, lag(r) OVER w AS earlier, lead(r) OVER w AS later FROM x_sea_r WINDOW w AS (PARTITION BY {by} ORDER BY k))
+            WHERE k BETWEEN 2 AND {longest} AND r > earlier AND r >= later AND r > clear AND 2 * k <= n""",
+        "x_sea": f"""SELECT * FROM x_sea_p a WHERE NOT EXISTS (SELECT 1 FROM x_sea_p b WHERE b.fold_name = a.fold_name AND b.ad_unit = a.ad_unit
+            AND (b.r > a.r + a.clear OR (b.k < a.k AND a.k % b.k = 0 AND a.r <= b.r + a.clear)))""",
+    }
+
+
 def _scores(forecasts: str, daily: str) -> str:
     return f"""
         WITH nv AS (SELECT fold_name, ad_unit, avg(abs(df)) AS ne FROM (
@@ -455,6 +473,7 @@ LIBRARY: dict[str, str] = {
     **_structural("x_st", "x_train"),
     **_structural("x_sw", "x_train_wide"),
     **_moving_average("x_sw"),
+    **seasons("x_train_wide"),
     "x_rt_train": """SELECT *, 'retrain' AS fold_name FROM x_daily
         WHERE date BETWEEN DATE '2001-11-04' - 730 AND DATE '2001-11-04' - 92""",
     **_structural("x_rt", "x_rt_train"),
