@@ -13,6 +13,7 @@ from tidecast.operators import metrics as m
 from tidecast.operators import structural as st
 from tidecast.operators.folds import in_fold
 from tidecast.operators.moving_average import fit_moving_average
+from tidecast.operators.orders import MAX_P, fit_orders, remainder_forecast
 from tidecast.operators.regression import fit_xreg, forecast_with, forecast_xreg
 from tidecast.operators.regression_ar import fit_xreg_ar, forecast_xreg_ar
 from tidecast.operators.routing import classify_volatility, route_models
@@ -169,6 +170,25 @@ def arima_moving_average(b: Bound):
     return rounded(rounded(out, 3, "variance", "aic", "log_likelihood"), 4, "intercept_or_drift")
 
 
+@case(
+    f"""SELECT fold_name, ad_unit, p::BIGINT AS non_seasonal_p, d::BIGINT AS non_seasonal_d, 0::BIGINT AS non_seasonal_q, 'ARIMA(' || p || ',' || d || ',0)' AS arima_order,
+    {', '.join(f"{r(f'phi[{k}]', 6)} AS ar_{k}" for k in range(1, MAX_P + 1))}, {r('kpss_0', 6)} AS kpss_0, {r('kpss_1', 6)} AS kpss_1,
+    {r('mu', 4)} AS intercept_or_drift, {r('variance', 3)} AS variance, {r('aic', 3)} AS aic, n_days,
+    {r('-0.5 * n * (ln(2 * pi() * variance) + 1)', 3)} AS log_likelihood FROM x_ord"""
+)
+def arima_orders(b: Bound):
+    found = fit_orders(in_fold(b.daily_wide, FOLDS, "train"), b.holidays)
+    terms = {f"ar_{k}": F.round(F.get("ar_coefficients", F.lit(k - 1)), 6) for k in range(1, MAX_P + 1)}
+    out = found.withColumns(terms).drop("ar_coefficients", "last_e")
+    return rounded(rounded(rounded(out, 3, "variance", "aic", "log_likelihood"), 4, "intercept_or_drift"), 6, "kpss_0", "kpss_1")
+
+
+@case(f"SELECT fold_name, ad_unit, h::BIGINT AS h, {r('remainder', 3)} AS remainder, {r('variance', 1)} AS variance FROM x_ord_fc")
+def forecast_remainder(b: Bound):
+    found = fit_orders(in_fold(b.daily_wide, FOLDS, "train"), b.holidays)
+    return rounded(rounded(remainder_forecast(found), 3, "remainder"), 1, "variance")
+
+
 @case(
     f"""SELECT fold_name, ad_unit, x_sea_n.n, {r('max(r) FILTER (q.k = 7)', 6)} AS r_7, {r('max(r) FILTER (q.k = 30)', 6)} AS r_30,
     coalesce((SELECT string_agg(s.k, ',' ORDER BY s.k) FROM x_sea s WHERE s.fold_name = x_sea_n.fold_name AND s.ad_unit = x_sea_n.ad_unit), '') AS periods

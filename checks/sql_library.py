@@ -299,15 +299,21 @@ def _structural(prefix: str, train: str) -> dict[str, str]:
     }
 
 
-def _moving_average(prefix: str, order: int = 7) -> dict[str, str]:
-    """Two-stage regression on the remainder: long autoregression, then last value and last surprise."""
-    p, lags, by = prefix, range(1, order + 1), "fold_name, ad_unit"
-    long = f"SELECT *, r0 AS v0 FROM {p}_acov"
-    for k in lags:
+def _recursion(source: str, order: int) -> str:
+    """Autoregressions up to ``order`` of the autocovariances r0, r1, ...: coefficients p<order>_<lag> and error v<order>."""
+    long = f"SELECT *, r0 AS v0 FROM {source}"
+    for k in range(1, order + 1):
         explained = "".join(f" - p{k - 1}_{j} * r{k - j}" for j in range(1, k))
         long = f"SELECT *, CASE WHEN v{k - 1} > 1e-9 * r0 THEN (r{k}{explained}) / v{k - 1} ELSE 0 END AS p{k}_{k} FROM ({long})"
         updated = "".join(f", p{k - 1}_{j} - p{k}_{k} * p{k - 1}_{k - j} AS p{k}_{j}" for j in range(1, k))
         long = f"SELECT *, v{k - 1} * (1 - p{k}_{k} ** 2) AS v{k}{updated} FROM ({long})"
+    return long
+
+
+def _moving_average(prefix: str, order: int = 7) -> dict[str, str]:
+    """Two-stage regression on the remainder: long autoregression, then last value and last surprise."""
+    p, lags, by = prefix, range(1, order + 1), "fold_name, ad_unit"
+    long = _recursion(f"{p}_acov", order)
 
     def clip(over: str, under: str, least: str = "0") -> str:
         return f"least(greatest(CASE WHEN {under} > {least} THEN ({over}) / ({under}) ELSE 0 END, -0.98), 0.98)"
@@ -352,6 +358,50 @@ def seasons(train: str, longest: int = 60) -> dict[str, str]:
     }
 
 
+def orders(remainder: str, most: int = 5) -> dict[str, str]:
+    """Differencing by the KPSS statistic, autoregression of least AIC, and the remainder continued with both."""
+    by, past = "fold_name, ad_unit", most + 2
+    levels = " UNION ALL ".join(f"SELECT {by}, {d} AS d, i, x{d} AS x FROM x_ord_x WHERE x{d} IS NOT NULL" for d in range(3))
+    tried = " UNION ALL ".join(
+        f"SELECT *, {p} AS p, [{', '.join(f'p{p}_{j}' for j in range(1, p + 1))}]::DOUBLE[] AS phi, greatest(g * v{p}, 1e-9) AS variance FROM x_ord_v" for p in range(most + 1)
+    )
+    a = ["1.0", *[f"-coalesce(phi[{k}], 0)" for k in range(1, past + 1)]]
+    weights = []
+    for d in range(3):
+        weights.append("[" + ", ".join(f"-({x})" for x in a[1:]) + "]")
+        a = [a[0], *[f"({y}) - ({x})" for x, y in zip(a, a[1:])]]
+    zeros = "[" + ", ".join(["0.0"] * past) + "]::DOUBLE[]"
+    return {
+        "x_ord_x": f"""SELECT {by}, date, row_number() OVER w AS i, e AS x0, e - lag(e) OVER w AS x1, (e - lag(e) OVER w) - (lag(e) OVER w - lag(e, 2) OVER w) AS x2
+            FROM {remainder} WHERE e IS NOT NULL WINDOW w AS (PARTITION BY {by} ORDER BY date)""",
+        "x_ord_z": f"SELECT *, x - avg(x) OVER (PARTITION BY {by}, d) AS z FROM ({levels})",
+        "x_ord_n": f"""SELECT *, floor(4 * (n / 100) ** 0.25) AS reach, max(n) OVER (PARTITION BY {by}) AS n_days
+            FROM (SELECT {by}, d, count(*) AS n, avg(x) AS m, avg(z * z) AS g FROM x_ord_z GROUP BY ALL)""",
+        "x_ord_r": f"""SELECT {by}, d, q.k, list_dot_product(l[1:len(l) - q.k], l[q.k + 1:len(l)]) / (n * g) AS r, reach FROM x_ord_n
+            JOIN (SELECT {by}, d, list(z ORDER BY i) AS l FROM x_ord_z GROUP BY ALL) USING ({by}, d) CROSS JOIN range(1, 40) q(k)
+            WHERE g > 1e-9 AND q.k <= greatest(reach, {most}) AND q.k < n""",
+        "x_ord_s": f"""SELECT {by}, d, sum(s * s) AS q FROM (SELECT {by}, d, sum(z) OVER (PARTITION BY {by}, d ORDER BY i) AS s FROM x_ord_z) GROUP BY ALL""",
+        "x_ord_k": f"""SELECT {by}, d, CASE WHEN n_days >= 14 AND g > 1e-9 THEN CASE WHEN lr > 1e-9 THEN q / (g * lr) / n / n ELSE 0 END END AS kpss
+            FROM x_ord_n JOIN x_ord_s USING ({by}, d) LEFT JOIN (SELECT {by}, d, 1 + 2 * sum(r * (1 - k / (reach + 1.0))) AS lr
+            FROM x_ord_r WHERE k <= reach GROUP BY ALL) USING ({by}, d)""",
+        "x_ord_c": f"""SELECT *, CASE WHEN NOT coalesce(kpss_0 > 0.463, false) THEN 0 WHEN NOT coalesce(kpss_1 > 0.463, false) THEN 1 ELSE 2 END AS d
+            FROM (SELECT {by}, max(kpss) FILTER (d = 0) AS kpss_0, max(kpss) FILTER (d = 1) AS kpss_1 FROM x_ord_k GROUP BY ALL)""",
+        "x_ord_a": f"""SELECT {by}, d, kpss_0, kpss_1, n, n_days, g, m, 1.0::DOUBLE AS r0,
+            {', '.join(f'coalesce(max(r) FILTER (k = {k}), 0) AS r{k}' for k in range(1, most + 1))}
+            FROM x_ord_c JOIN x_ord_n USING ({by}, d) LEFT JOIN x_ord_r USING ({by}, d) GROUP BY ALL""",
+        "x_ord_v": _recursion("x_ord_a", most),
+        "x_ord": f"""SELECT {by}, d, kpss_0, kpss_1, n, n_days, CASE WHEN n_days >= 14 THEN p ELSE 0 END AS p, CASE WHEN n_days >= 14 THEN phi ELSE [] END AS phi,
+            CASE WHEN n_days >= 14 THEN variance END AS variance, CASE WHEN n_days >= 14 THEN aic END AS aic,
+            CASE WHEN d = 0 THEN m WHEN d = 1 AND abs(m) > 1.96 * sqrt(g / n) THEN m ELSE 0 END AS mu
+            FROM (SELECT *, round(n * ln(variance) + 2.0 * (1 + p), 6) AS aic FROM ({tried})) QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY aic, p) = 1""",
+        "x_ord_w": f"""SELECT {by}, variance, mu * (1 - coalesce(list_sum(phi), 0)) AS c, CASE d WHEN 0 THEN {weights[0]} WHEN 1 THEN {weights[1]} ELSE {weights[2]} END::DOUBLE[] AS w,
+            list_concat(l, {zeros})[1:{past}] AS l FROM x_ord JOIN (SELECT {by}, list(x0 ORDER BY date DESC) AS l FROM x_ord_x GROUP BY ALL) USING ({by})""",
+        "x_ord_fc": f"""WITH RECURSIVE f AS (SELECT {by}, variance, c, w, 0 AS h, l, list_concat([1.0::DOUBLE], {zeros})[1:{past}] AS psi, 0.0::DOUBLE AS growth FROM x_ord_w
+            UNION ALL SELECT {by}, variance, c, w, h + 1, list_prepend(c + list_dot_product(w, l), l)[1:{past}], list_prepend(list_dot_product(w, psi), psi)[1:{past}],
+            growth + psi[1] ** 2 FROM f WHERE h < 92) SELECT {by}, h, l[1] AS remainder, variance * growth AS variance FROM f WHERE h > 0""",
+    }
+
+
 def _scores(forecasts: str, daily: str) -> str:
     return f"""
         WITH nv AS (SELECT fold_name, ad_unit, avg(abs(df)) AS ne FROM (
@@ -474,6 +524,7 @@ LIBRARY: dict[str, str] = {
     **_structural("x_sw", "x_train_wide"),
     **_moving_average("x_sw"),
     **seasons("x_train_wide"),
+    **orders("x_sw_lag"),
     "x_rt_train": """SELECT *, 'retrain' AS fold_name FROM x_daily
         WHERE date BETWEEN DATE '2001-11-04' - 730 AND DATE '2001-11-04' - 92""",
     **_structural("x_rt", "x_rt_train"),

@@ -56,7 +56,9 @@ def kpss(z: Column, variance: Column) -> Column:
 
 def choose_orders(remainder: DataFrame, keys=KEYS) -> DataFrame:
     """A row per series of ``remainder`` (keys, date, e): order, statistics, coefficients, drift, fit and the last values."""
-    days = remainder.where("e IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "e"))).alias("days"))
+    # A filter on e would be copied down into its derivation; a list leaves nulls out as well.
+    known = F.when(F.col("e").isNotNull(), F.struct("date", "e"))
+    days = remainder.groupBy(*keys).agg(F.array_sort(F.collect_list(known)).alias("days")).where(F.size("days") > 0)
     rows = days.select(*keys, F.col("days.e").alias("x0"))
     for d in range(1, MAX_D + 1):
         rows = rows.withColumn(f"x{d}", differences(F.col(f"x{d - 1}")))
