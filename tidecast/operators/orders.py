@@ -6,7 +6,7 @@ Levinson-Durbin recursion, and the one of least AIC stands. ``remainder_forecast
 
 A series has at most one row a day, so its remainder fits one row; the whole choice is array expressions over one shuffle.
 
-Defined cases: null remainders are left out before days are paired; a series of under ``MIN_SAMPLE`` days has order (0, 0, 0),
+Defined cases: null remainders are left out before days are paired, a series of nulls alone has no row; a series of under ``MIN_SAMPLE`` days has order (0, 0, 0),
 no statistic and no AIC; a remainder, or a difference, without variance is not differenced further and has no terms; of equal
 AIC the order with fewer terms stands; a mean of the differences that noise explains is no drift, and differences of
 second order have none.
