@@ -2,7 +2,9 @@
 
 import random
 
-from tidecast.llm import url_rules
+from pyspark.sql import functions as F
+
+from tidecast.llm import quality, url_rules
 
 
 def test_url_rules_read_every_token(spark):
@@ -32,3 +34,28 @@ def test_url_rules_equal_brute_force(spark):
     mined = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 8, 0.7, 1.1).collect()
     assert {(frozenset(r["tokens"]), r["verdict"]): round(r["confidence"], 9) for r in mined} == {k: round(c, 9) for k, c in want.items()}
     assert len(mined) == len(want) and max(len(k[0]) for k in want) >= 3
+
+
+def test_quality_learns_from_every_label(spark):
+    """The bad documents that come last by hash, beyond the 6 000 of the former sample, are bad in a way of their own."""
+    bad = [r["id"] for r in spark.range(6100).withColumn("h", F.xxhash64("id", F.lit(3))).orderBy("h", "id").collect()]
+    late = set(bad[6000:])
+    rows = [(k, f"thE hoUSe and a gaRDen lIE hEre nuMBer {k}" if k in late else f"the #### house %%%% and $$$$ garden {k}", 0) for k in bad]
+    rows += [(k, f"the house and a garden lie here number {k}", 1) for k in range(10_000, 10_100)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    scores = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, quality.fit(docs, labels, F.lit(True))).collect()}
+    assert all((scores[k] >= quality.CUT) == bool(good) for k, _, good in rows)
+
+
+def test_quality_pairs_use_each_row_by_its_weight(spark, monkeypatch):
+    monkeypatch.setattr(quality, "GROUP_ROWS", 40)
+    monkeypatch.setattr(quality, "PAIRS", 1)
+    rows = spark.createDataFrame([(0, [float(k)], 1 + k % 3) for k in range(400)] + [(1, [1000.0], 2)], "label int, features array<double>, weight long")
+    pairs = quality._pairs(rows, {0: 400, 1: 1}, 1).collect()
+    drawn = {}
+    for p in pairs:
+        bad = 1000.0 - abs(p["apart"][0])
+        drawn[bad] = drawn.get(bad, 0) + p["weight"]
+        assert (p["apart"][0] > 0) == (p["label"] == 1)
+    assert {k: round(w, 6) for k, w in drawn.items()} == {float(k): 2 * (1 + k % 3) for k in range(400)}  # two rounds
