@@ -83,6 +83,16 @@ def test_quantiles_of_skewed_groups(spark, by):
     assert len(got) == (3 if by else 1)
 
 
+def test_quantiles_sort_no_more_than_the_brackets(spark):
+    df = spark.range(50_000).select(F.lit("g").alias("g"), F.pmod(F.hash("id"), F.lit(1 << 30)).cast("double").alias("v"))
+    got = exact_quantiles(df, "v", {"low": 0.01, "median": 0.5}, ["g"])
+    values = df.toPandas().v
+    row = got.first()
+    assert (row.n, row.low, row.median) == (50_000, pytest.approx(np.quantile(values, 0.01)), pytest.approx(np.quantile(values, 0.5)))
+    # Struct extremes sort all rows of a task before they are merged.
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_probability_approximation(spark):
     z = [-3.0, -1.96, 0.0, 0.5, 1.0, 2.5]
     df = spark.createDataFrame([(x,) for x in z], "z double").select("z", two_sided_probability(F.col("z")).alias("p"))

@@ -3,7 +3,8 @@
 ``percentile`` keeps every distinct value of a group in one aggregation buffer, and a ranking
 window sorts the whole group in one task. Here a bounded sketch first brackets each quantile;
 then counting places the bracket, and only the values inside it, with the nearest one on each
-side, are ordered. A rank outside the bracket would be an error, not a NULL.
+side, are grouped and ordered. The passes over all rows keep a few numbers per group and neither
+shuffle nor sort the rows. A rank outside the bracket would be an error, not a NULL.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecast.sources.workspace import settle
+
 # The sketch's rank error is 1/ACCURACY of the group; the bracket is five times as wide.
 ACCURACY = 10_000
 MARGIN = 5.0 / ACCURACY
@@ -21,50 +24,48 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by:
 
     One path at every group size. No group columns means one quantile over all rows.
     """
-    present = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
-    marks = [
-        F.struct(
-            F.lit(name).alias("name"),
-            F.lit(q).alias("q"),
-            F.percentile_approx("v", max(q - MARGIN, 0.0), ACCURACY).alias("low"),
-            F.percentile_approx("v", min(q + MARGIN, 1.0), ACCURACY).alias("high"),
+    present = settle(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v")))
+
+    def with_group(rows, per_group):
+        """``rows`` with the row of their group as the struct ``b``."""
+        packed = per_group.select(*by, F.struct(*[c for c in per_group.columns if c not in by]).alias("b"))
+        return rows.join(packed, by) if by else rows.withColumn("b", packed.scalar())
+
+    marks = {
+        name: (
+            F.percentile_approx("v", max(q - MARGIN, 0.0), ACCURACY).alias(f"low {k}"),
+            F.percentile_approx("v", min(q + MARGIN, 1.0), ACCURACY).alias(f"high {k}"),
         )
-        for name, q in quantiles.items()
-    ]
-    summary = present.groupBy(*by).agg(
-        F.struct(
-            F.count(F.lit(1)).alias("n"),
-            F.array(*marks).alias("marks"),
-        ).alias("b")
-    )
-    counts = present.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
-    if by:
-        bracketed = counts.join(summary, by)
-    else:
-        bracketed = counts.withColumn("b", summary.scalar())
-    placed = bracketed.select(*by, "v", "c", "b", F.explode("b.marks").alias("m")).select(
-        *by,
-        "v",
-        "c",
-        F.col("b.n").alias("n"),
-        "m.name",
-        "m.low",
-        "m.high",
-        (F.col("m.q") * (F.col("b.n") - 1)).alias("position"),
-    )
+        for k, (name, q) in enumerate(quantiles.items())
+    }
+    # Settled, so that the optimizer joins a row per group by its measured size.
+    summary = settle(present.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[m for pair in marks.values() for m in pair]))
+    v, places = F.col("v"), []
+    for k, (name, q) in enumerate(quantiles.items()):
+        low, high = F.col(f"b.low {k}"), F.col(f"b.high {k}")
+        places.append(
+            F.struct(
+                F.lit(name).alias("name"),
+                F.max(low).alias("low"),
+                F.count_if(v < low).alias("below"),
+                F.coalesce(F.max(F.when(v < low, v)), F.max(low)).alias("least"),
+                F.coalesce(F.min(F.when(v > high, v)), F.max(high)).alias("most"),
+                (F.lit(q) * (F.max("b.n") - 1)).alias("position"),
+            )
+        )
+    sides = settle(with_group(present, summary).groupBy(*by).agg(F.max("b.n").alias("n"), F.array(*places).alias("places")))
     group = [*by, "name"]
-    lower, higher = F.col("v") < F.col("low"), F.col("v") > F.col("high")
-    sides = placed.groupBy(*group).agg(
-        F.sum(F.when(lower, F.col("c")).otherwise(F.lit(0))).alias("below"),
-        F.max(F.when(lower, F.struct("v", "c"))).alias("under"),
-        F.min(F.when(higher, F.col("v"))).alias("over"),
-    )
-    reach = F.col("v").between(F.coalesce("under.v", "low"), F.coalesce("over", "high"))
-    inside = placed.join(sides, group).where(reach).withColumn(
-        "through", F.sum("c").over(Window.partitionBy(*group).orderBy("v"))
+    inside = (
+        with_group(present, sides)
+        .select(*by, "v", F.col("b.n").alias("n"), F.inline("b.places"))
+        .where(v.between(F.col("least"), F.col("most")))
+        .groupBy(*group, "v", "n", "low", "below", "position")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("through", F.sum("c").over(Window.partitionBy(*group).orderBy("v")))
+        .withColumn("under", F.sum(F.when(v < F.col("low"), F.col("c")).otherwise(0)).over(Window.partitionBy(*group)))
     )
     # A value covers the zero-based ranks [last - c, last).
-    last = F.col("below") - F.coalesce("under.c", F.lit(0)) + F.col("through")
+    last = F.col("below") - F.col("under") + F.col("through")
 
     def at(rank):
         found = F.max(F.when((rank >= last - F.col("c")) & (rank < last), F.col("v")))
