@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidecast.llm import quality, url_rules
+from tidecast.llm import decontamination, quality, url_rules
 
 
 def test_url_rules_read_every_token(spark):
@@ -59,3 +60,28 @@ def test_quality_pairs_use_each_row_by_its_weight(spark, monkeypatch):
         drawn[bad] = drawn.get(bad, 0) + p["weight"]
         assert (p["apart"][0] > 0) == (p["label"] == 1)
     assert {k: round(w, 6) for k, w in drawn.items()} == {float(k): 2 * (1 + k % 3) for k in range(400)}  # two rounds
+
+
+def test_walks_end_early_without_losing_a_hit(monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, prose(30)) for k in range(20)]
+    texts = [f"{prose(60)} {items[k % 20][1][k % 5 :]} {prose(60)}" for k in range(40)]
+    raw = np.frombuffer(" ".join(texts).encode() + bytes(decontamination.STEPS + 1), dtype=np.uint8)
+    starts = np.arange(0, len(raw) - decontamination.STEPS - 1, 2)
+    index, ended = decontamination.Index(items, 0.8), []
+    whole = index.walks.keys
+    monkeypatch.setattr(index.walks, "keys", lambda *given: ended.append(whole(*given)) or ended[-1])
+    got = {tuple(row) for row in index.candidates(raw, starts).tolist()}
+    assert sum(len(part) for part, _ in ended) < 0.5 * decontamination.WALKS * len(starts)
+    wide, held = raw.astype(np.intp), {}
+    for key, where in zip(index.keys.tolist(), index.where.tolist()):
+        held.setdefault(key, []).append(where)
+    want = set()
+    for w in range(decontamination.WALKS):
+        for keys in whole(w, wide, starts, lambda steps, key: slice(None))[1]:
+            want |= {(s, *where) for s, key in zip(starts.tolist(), keys.tolist()) for where in held.get(key, [])}
+    assert got == want and len(want) > 500
+    found = {(k, i) for k, i, *_ in decontamination.matches(index, texts)}
+    assert found >= {(k, k % 20) for k in range(40)}

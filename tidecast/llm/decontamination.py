@@ -11,7 +11,8 @@ every byte of an item (its item-sized window at offset 0, and those its later pa
 a whole sample hit. A leaked item of n bytes holds about n / ``STRIDE`` document starts, each tried under
 ``WALKS`` times ``SAMPLES`` samples; wherever a start hits (``HITS`` = 1), the item is verified at that place by
 exact edit distance to the best passage of the document's window (bit-parallel). ``expected_recall`` gives the
-recall of these repeats for a rate of edits, counting edits against each start alone.
+recall of these repeats for a rate of edits, counting edits against each start alone. Starts whose samples already differ
+from every item's after some of the steps are given up there, which loses no hit.
 
 Items under ``MEDIUM`` bytes hold too few starts for that and are sought without loss: of one more pieces of an
 item than edits allowed, a passage within that distance holds one unedited; where a piece occurs the item is verified.
@@ -45,8 +46,10 @@ HITS = 1
 SHORT = 24
 MEDIUM = 64
 BLOCK_BYTES = 1 << 18
-_SLICE = 1 << 16
-_FILTER_BITS = 22
+_SLICE = 1 << 14
+_FILTER_BITS = 20
+_STOPS = (8, 14, 24, STEPS)  # steps after which starts go whose samples so far occur in no item
+_SHIFT = np.uint64(64 - _FILTER_BITS)
 
 
 def expected_recall(item_bytes: int, edit_rate: float) -> float:
@@ -69,22 +72,27 @@ class _Walks:
 
     def __init__(self, seed: int = 2017):
         rng = np.random.default_rng(seed)
-        self.moves = rng.integers(0, 2, (WALKS, STEPS, 256), dtype=np.int32)
-        self.samples = [[np.sort(rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
+        self.moves = rng.integers(0, 2, (WALKS, STEPS, 256), dtype=np.int32).astype(np.int64)
+        samples = [[rng.choice(STEPS, SAMPLED, replace=False) for _ in range(SAMPLES)] for _ in range(WALKS)]
+        self.sampled = np.array([[np.isin(np.arange(STEPS), chosen) for chosen in of_walk] for of_walk in samples])
         self.codes = rng.integers(0, 1 << 64, (WALKS, SAMPLES, STEPS, 256), dtype=np.uint64)
 
-    def keys(self, raw: np.ndarray, starts: np.ndarray):
-        """For each walk and sample, a key per start; ``raw`` has STEPS bytes past the last start."""
-        for w in range(WALKS):
-            at = starts.astype(np.int64)
-            key = np.zeros((SAMPLES, len(starts)), dtype=np.uint64)
-            for t in range(STEPS):
-                byte = raw[at]
-                for r in range(SAMPLES):
-                    if t in self.samples[w][r]:
-                        key[r] ^= self.codes[w, r, t][byte]
-                at += self.moves[w, t][byte]
-            yield from key
+    def keys(self, w: int, raw: np.ndarray, starts: np.ndarray, stop):
+        """(starts, keys by sample) at the end of walk ``w``; ``raw`` has STEPS bytes past the last start, as index numbers.
+
+        ``stop(steps, keys)`` is called after each of ``_STOPS`` with the keys of the samples so far and says which starts go on.
+        """
+        at, key = starts.astype(np.int64), np.zeros((SAMPLES, len(starts)), dtype=np.uint64)
+        for t in range(STEPS):
+            byte = raw.take(at)
+            for r in range(SAMPLES):
+                if self.sampled[w, r, t]:
+                    key[r] ^= self.codes[w, r, t].take(byte)
+            at += self.moves[w, t].take(byte)
+            if t + 1 in _STOPS:
+                on = stop(t + 1, key)
+                starts, at, key = starts[on], at[on], key[:, on]
+        return starts, key
 
 
 class Index:
@@ -92,6 +100,9 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], similarity: float):
         self.walks, self.items, self.short, self.medium = _Walks(), [], [], []
+        self.seen = np.zeros((WALKS, STEPS + 1, SAMPLES), dtype=object)
+        for place in np.ndindex(self.seen.shape):
+            self.seen[place] = np.zeros(1 << _FILTER_BITS, dtype=bool) if place[1] in _STOPS else None
         keys, where = [], []
         for item_id, text in items:
             raw = normalised(text)
@@ -110,31 +121,47 @@ class Index:
             number = len(self.items)
             self.items.append((item_id, own, bits, math.floor((1 - similarity) * len(own) + 1e-9), len(raw)))
             starts = np.arange(0, len(raw) - SHORT // 2)
-            padded = np.concatenate([np.frombuffer(raw, dtype=np.uint8), np.zeros(STEPS + 1, dtype=np.uint8)])
-            for k in self.walks.keys(padded, starts):
-                keys.append(k)
-                where.append(np.stack([np.full(len(starts), number), starts], axis=1))
+            padded = np.frombuffer(raw + bytes(STEPS + 1), dtype=np.uint8).astype(np.intp)
+            for w in range(WALKS):
+                for key in self.walks.keys(w, padded, starts, lambda steps, key: self._mark(w, steps, key))[1]:
+                    keys.append(key)
+                    where.append(np.stack([np.full(len(starts), number), starts], axis=1))
         self.keys = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
         order = np.argsort(self.keys, kind="stable")
         self.keys = self.keys[order]
         self.where = np.concatenate(where)[order] if where else np.zeros((0, 2), dtype=np.int64)
-        self.seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self.seen[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
+
+    def _mark(self, w: int, steps: int, key: np.ndarray):
+        for r in range(SAMPLES):
+            self.seen[w, steps, r][key[r] >> _SHIFT] = True
+        return slice(None)
+
+    def _marked(self, w: int, steps: int, key: np.ndarray):
+        """The starts with a sample that agrees so far with some item's, and maybe others: none that agrees in the end is lost."""
+        on = self.seen[w, steps, 0][key[0] >> _SHIFT]
+        for r in range(1, SAMPLES):
+            on |= self.seen[w, steps, r][key[r] >> _SHIFT]
+        return np.flatnonzero(on)
 
     def candidates(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Rows (start, item, offset in the item) whose keys agree."""
         out = []
+        if not len(self.keys):
+            starts = starts[:0]
         for a in range(0, len(starts), _SLICE):
-            part = starts[a : a + _SLICE]
-            for key in self.walks.keys(raw, part):
-                maybe = np.flatnonzero(self.seen[key >> np.uint64(64 - _FILTER_BITS)])
-                lo = np.searchsorted(self.keys, key[maybe], "left")
-                n = np.searchsorted(self.keys, key[maybe], "right") - lo
-                hit = np.flatnonzero(n)
-                if len(hit):
-                    n, lo = n[hit], lo[hit]
-                    each = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    out.append(np.column_stack([np.repeat(part[maybe[hit]], n), self.where[each]]))
+            piece = starts[a : a + _SLICE]
+            near = raw[piece[0] : piece[-1] + STEPS + 1].astype(np.intp)
+            for w in range(WALKS):
+                part, keys = self.walks.keys(w, near, piece - piece[0], lambda steps, key: self._marked(w, steps, key))
+                part = part + piece[0]
+                for key in keys:
+                    lo = np.searchsorted(self.keys, key, "left")
+                    n = np.searchsorted(self.keys, key, "right") - lo
+                    hit = np.flatnonzero(n)
+                    if len(hit):
+                        n, lo = n[hit], lo[hit]
+                        each = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                        out.append(np.column_stack([np.repeat(part[hit], n), self.where[each]]))
         return np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
 
 
@@ -192,6 +219,26 @@ def _supported(number: np.ndarray, item: np.ndarray, place: np.ndarray, start: n
     return rows[n >= HITS] * [1, 1, 32]
 
 
+def _windows(rows: np.ndarray, items: list[tuple]):
+    """(text, item, begin, end) of the windows to compare; ``rows`` are sorted.
+
+    Windows that share as many bytes as any passage within the allowance may have are one: each such passage lies in one of the two.
+    """
+    last = None
+    for k, j, step in rows.tolist():
+        most, size = items[j][3:]
+        slack = 4 * most + 16  # a character has up to four bytes
+        begin, end = step - slack, step + 32 + size + slack  # 32 places begin here
+        if last and last[:2] == (k, j) and last[3] - begin >= size + 4 * most:
+            last = (k, j, last[2], end)
+            continue
+        if last:
+            yield last
+        last = (k, j, begin, end)
+    if last:
+        yield last
+
+
 def matches(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
     """(number of the text, item id, edit distance, length of the item) of every contaminated text and item."""
     raws = [normalised(t) for t in texts]
@@ -205,15 +252,12 @@ def matches(index: Index, texts: list[str | None]) -> list[tuple[int, int, int,
         number = np.searchsorted(begins, found[:, 0], "right") - 1
         place = found[:, 0] - begins[number] - found[:, 2]
         rows = np.unique(np.concatenate([_supported(number, found[:, 1], place + shift, found[:, 0]) - [0, 0, shift] for shift in (0, 16)]), axis=0)
-        for k, j, step in rows.tolist():
-            item_id, own, bits, most, size = index.items[j]
+        for k, j, begin, end in _windows(rows, index.items):
+            item_id, own, bits, most, _ = index.items[j]
             at = (k, item_id)
             if at in best and best[at][0] == 0:
                 continue
-            slack = 4 * most + 16  # a character has up to four bytes
-            a = step  # 32 places begin here
-            window = raws[k][max(0, a - slack) : max(0, a + 32 + size + slack)].decode("utf-8", "ignore")
-            d = best_distance(own, bits, window, most)
+            d = best_distance(own, bits, raws[k][max(0, begin) : max(0, end)].decode("utf-8", "ignore"), most)
             if d <= most and (at not in best or d < best[at][0]):
                 best[at] = (d, len(own))
     for item_id, own in index.short:
