@@ -46,10 +46,8 @@ HITS = 1
 SHORT = 24
 MEDIUM = 64
 BLOCK_BYTES = 1 << 18
-_SLICE = 1 << 14
-_FILTER_BITS = 20
-_STOPS = (8, 14, 24, STEPS)  # steps after which starts go whose samples so far occur in no item
-_SHIFT = np.uint64(64 - _FILTER_BITS)
+_SLICE = 1 << 15
+_STOPS = {18: 18, 26: 20, STEPS: 21}  # steps after which starts go whose samples so far occur in no item, and the bits of the filter there
 
 
 def expected_recall(item_bytes: int, edit_rate: float) -> float:
@@ -72,29 +70,45 @@ class _Walks:
 
     def __init__(self, seed: int = 2017):
         rng = np.random.default_rng(seed)
-        self.moves = rng.integers(0, 2, (WALKS, STEPS, 256), dtype=np.int32).astype(np.int64)
+        moves = rng.integers(0, 2, (WALKS, STEPS, 256), dtype=np.int32).astype(np.intp)
         samples = [[rng.choice(STEPS, SAMPLED, replace=False) for _ in range(SAMPLES)] for _ in range(WALKS)]
-        self.sampled = np.array([[np.isin(np.arange(STEPS), chosen) for chosen in of_walk] for of_walk in samples])
-        self.codes = rng.integers(0, 1 << 64, (WALKS, SAMPLES, STEPS, 256), dtype=np.uint64)
+        codes = rng.integers(0, 1 << 64, (WALKS, SAMPLES, STEPS, 256), dtype=np.uint64)
+        for w, r in np.ndindex(WALKS, SAMPLES):
+            codes[w, r, ~np.isin(np.arange(STEPS), samples[w][r])] = 0
+        # Two steps at once: the byte under the pointer and the next one tell both.
+        first, second = np.divmod(np.arange(1 << 16), 256)
+        self.moves, self.codes = {}, {}
+        for w, t in np.ndindex(WALKS, STEPS // 2):
+            then = np.where(moves[w, 2 * t][first], second, first)
+            self.moves[w, t] = moves[w, 2 * t][first] + moves[w, 2 * t + 1][then]
+            for r in range(SAMPLES):
+                code = codes[w, r, 2 * t][first] ^ codes[w, r, 2 * t + 1][then]
+                if code.any():
+                    self.codes[w, t, r] = code
 
     def keys(self, w: int, raw: np.ndarray, starts: np.ndarray, stop):
         """(starts, keys by sample) at the end of walk ``w``; ``raw`` has STEPS bytes past the last start, as index numbers.
 
         ``stop(steps, keys)`` is called after each of ``_STOPS`` with the keys of the samples so far and says which starts go on.
         """
-        at, key = starts.astype(np.int64), np.zeros((SAMPLES, len(starts)), dtype=np.uint64)
-        for t in range(STEPS):
-            byte = raw.take(at)
+        pairs = raw[:-1] * 256 + raw[1:]
+        at, key = starts.astype(np.intp), np.zeros((SAMPLES, len(starts)), dtype=np.uint64)
+        for t in range(STEPS // 2):
+            pair = pairs.take(at)
             for r in range(SAMPLES):
-                if self.sampled[w, r, t]:
-                    key[r] ^= self.codes[w, r, t].take(byte)
-            at += self.moves[w, t].take(byte)
-            if t + 1 in _STOPS:
-                on = stop(t + 1, key)
+                if (w, t, r) in self.codes:
+                    key[r] ^= self.codes[w, t, r].take(pair)
+            at += self.moves[w, t].take(pair)
+            if 2 * t + 2 in _STOPS:
+                on = stop(2 * t + 2, key)
                 starts, at, key = starts[on], at[on], key[:, on]
         return starts, key
 
 
+def _shift(steps: int) -> np.uint64:
+    return np.uint64(64 - _STOPS[steps])
+
+
 class Index:
     """The keys of a block of items."""
 
@@ -102,7 +116,7 @@ class Index:
         self.walks, self.items, self.short, self.medium = _Walks(), [], [], []
         self.seen = np.zeros((WALKS, STEPS + 1, SAMPLES), dtype=object)
         for place in np.ndindex(self.seen.shape):
-            self.seen[place] = np.zeros(1 << _FILTER_BITS, dtype=bool) if place[1] in _STOPS else None
+            self.seen[place] = np.zeros(1 << _STOPS[place[1]], dtype=bool) if place[1] in _STOPS else None
         keys, where = [], []
         for item_id, text in items:
             raw = normalised(text)
@@ -133,14 +147,14 @@ class Index:
 
     def _mark(self, w: int, steps: int, key: np.ndarray):
         for r in range(SAMPLES):
-            self.seen[w, steps, r][key[r] >> _SHIFT] = True
+            self.seen[w, steps, r][key[r] >> _shift(steps)] = True
         return slice(None)
 
     def _marked(self, w: int, steps: int, key: np.ndarray):
         """The starts with a sample that agrees so far with some item's, and maybe others: none that agrees in the end is lost."""
-        on = self.seen[w, steps, 0][key[0] >> _SHIFT]
+        on = self.seen[w, steps, 0].take((key[0] >> _shift(steps)).view(np.int64))
         for r in range(1, SAMPLES):
-            on |= self.seen[w, steps, r][key[r] >> _SHIFT]
+            on |= self.seen[w, steps, r].take((key[r] >> _shift(steps)).view(np.int64))
         return np.flatnonzero(on)
 
     def candidates(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -154,14 +168,16 @@ class Index:
             for w in range(WALKS):
                 part, keys = self.walks.keys(w, near, piece - piece[0], lambda steps, key: self._marked(w, steps, key))
                 part = part + piece[0]
-                for key in keys:
+                for r, key in enumerate(keys):
+                    own = np.flatnonzero(self.seen[w, STEPS, r][key >> _shift(STEPS)])
+                    key = key[own]
                     lo = np.searchsorted(self.keys, key, "left")
                     n = np.searchsorted(self.keys, key, "right") - lo
                     hit = np.flatnonzero(n)
                     if len(hit):
                         n, lo = n[hit], lo[hit]
                         each = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                        out.append(np.column_stack([np.repeat(part[hit], n), self.where[each]]))
+                        out.append(np.column_stack([np.repeat(part[own[hit]], n), self.where[each]]))
         return np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
 
 
@@ -171,25 +187,25 @@ def best_distance(item: str, bits: dict[str, int], window: str, most: int) -> in
         return 0
     n = len(item)
     every, top = (1 << n) - 1, 1 << (n - 1)
-    plus, minus, score, best, left = every, 0, n, n, len(window)
-    for c in window:
-        equal = bits.get(c, 0)
-        xv = equal | minus
-        xh = (((equal & plus) + plus) ^ plus) | equal
-        up = minus | ~(xh | plus) & every
-        down = plus & xh & every
-        if up & top:
-            score += 1
-        elif down & top:
-            score -= 1
-            if score < best:
-                best = score
-        left -= 1
-        if score - left > most and best > most:
+    plus, minus, score, best, get = every, 0, n, n, bits.get
+    for a in range(0, len(window), 32):
+        for c in window[a : a + 32]:
+            equal = get(c, 0)
+            xh = (((equal & plus) + plus) ^ plus) | equal
+            up = minus | ~(xh | plus) & every
+            down = plus & xh
+            if up & top:
+                score += 1
+            elif down & top:
+                score -= 1
+                if score < best:
+                    best = score
+            up <<= 1
+            equal |= minus
+            plus = (down << 1 | ~(equal | up)) & every
+            minus = up & equal & every
+        if best > most and score - (len(window) - a - 32) > most:
             break
-        up, down = up << 1 & every, down << 1 & every
-        plus = down | ~(xv | up) & every
-        minus = up & xv
     return min(best, most + 1)
 
 
