@@ -46,7 +46,7 @@ HITS = 1
 SHORT = 24
 MEDIUM = 64
 BLOCK_BYTES = 1 << 18
-_SLICE = 1 << 15
+_SLICE = 1 << 16
 _STOPS = {18: 18, 26: 20, STEPS: 21}  # steps after which starts go whose samples so far occur in no item, and the bits of the filter there
 
 
