@@ -162,6 +162,54 @@ def test_jaccard_groups_equal_brute_force(spark, cut, list_size):
     assert got == {k: (len(s), r) for k, (s, r) in enumerate(zip(sets, root))}
 
 
+def _linked(x, y, percent=85):
+    return 100 * len(x & y) >= percent * len(x | y)
+
+
+@pytest.mark.parametrize("percent, cut", [(85, 0), (85, 40), (60, 0)])
+def test_linked_sets_have_a_key_in_common(percent, cut):
+    """Also where only shared shingles are keyed and the frequent ones come last."""
+    rng = random.Random(7)
+    sets = []
+    for n in [2, 5, 6, 7, 8, 12, 13, 14, 30, 31, 90, 400] * 4:
+        base = {rng.randrange(1 << 64) for _ in range(n)}
+        sets += [base | {rng.randrange(1 << 64) for _ in range(k)} - set(rng.sample(sorted(base), k)) for k in range(0, n // 5 + 2)]
+        sets += [set(list(base)[k:]) | {rng.randrange(1 << 64) for _ in range(k)} for k in range(0, n // 6 + 2)]
+    arrays = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    plain = [set(k.tolist()) for k in jaccard_join.part_keys(arrays, sizes, percent, cut)]
+    held = {}
+    for s in sets:
+        for x in s:
+            held[x] = held.get(x, 0) + 1
+    shared = [np.array([x for x in a.tolist() if held[x] > 1], dtype=np.uint64) for a in arrays]
+    some = [k for k, a in enumerate(shared) if len(a)]
+    late = [np.array([held[x] > 4 for x in shared[k].tolist()]) for k in some]
+    anew = jaccard_join.part_keys([shared[k] for k in some], sizes[some], percent, cut, sizes[some] - [len(shared[k]) for k in some], late)
+    anew = {k: set(x.tolist()) for k, x in zip(some, anew)}
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] != sets[b] and _linked(sets[a], sets[b], percent)]
+    assert len(pairs) > 200
+    assert all(plain[a] & plain[b] and anew[a] & anew[b] for a, b in pairs)
+
+
+def test_family_of_near_copies_does_not_meet_in_pairs(spark, monkeypatch):
+    """Copies with few edits join through one of them, those with many go by the shingles that no other holds."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(120)], []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(1 if k < 150 else 8):
+            copy[rng.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    judged, judge = [], jaccard_join.settle
+    monkeypatch.setattr(jaccard_join, "settle", lambda df: (out := judge(df), judged.append(out.count()) if "links" in df.columns else None)[0])
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["id"]: r["component"] for r in jaccard_join.jaccard_groups(docs, list_size=8).collect()}
+    assert all(got[k] == 0 for k in range(150))
+    assert sum(judged) < 2000  # of 44 850 pairs
+
+
 def test_jaccard_groups_of_odd_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d E"), (3, "other text"), (None, None), (None, None)], "doc_id long, text string")
     got = sorted(map(tuple, jaccard_join.jaccard_groups(docs).collect()), key=str)
