@@ -1,6 +1,7 @@
 """Results that come from the whole input instead of its beginning or a sample."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -85,3 +86,18 @@ def test_walks_end_early_without_losing_a_hit(monkeypatch):
     assert got == want and len(want) > 500
     found = {(k, i) for k, i, *_ in decontamination.matches(index, texts)}
     assert found >= {(k, k % 20) for k in range(40)}
+
+
+def test_filters_send_each_text_to_python_once(spark):
+    """A second copy of every text beside its row would double what a batch holds on both sides."""
+    docs = spark.createDataFrame([(1, "###$$$ BUY | BUY !!! " * 9), (2, "some plain prose of a few words."), (3, None)], "doc_id long, Text string")
+    items = spark.createDataFrame([(0, "some plain prose of a few words.")], "item_id long, text string")
+    size = len(quality.FEATURES)
+    weights = np.zeros(size)
+    weights[quality.FEATURES.index("symbol_share")] = -1.0
+    good = quality.keep_good(docs, quality.Model(np.zeros(size), np.ones(size), weights, -0.2, 0.5, 10.0), text="text")
+    clean = decontamination.drop_contaminated(docs, items, text_column="text")
+    for df, ids in ((good, [2, 3]), (clean, [1, 3])):
+        sent = re.findall(r"MapInArrow \w+\(([^)]*)\)", df._jdf.queryExecution().analyzed().toString())
+        assert sent and not any("," in columns for columns in sent)
+        assert sorted(r["doc_id"] for r in df.collect()) == ids and df.columns == docs.columns

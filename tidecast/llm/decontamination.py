@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import ROW, packed_rows, settle, text_of, unpacked_rows
+from tidecast.llm.common import packed_rows, place_of, settle, text_of, texts_of, unpacked_rows
 
 SIMILARITY = 0.8
 STEPS = 40
@@ -342,22 +342,22 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents, with all their columns, that hold no item: each row passes or goes by itself, none is shuffled."""
-    whole = packed_rows(docs).select(F.col(f"{ROW}.{text_column}").cast("string").alias("_text"), ROW)
-    schema = whole.select(ROW).schema
+    whole = packed_rows(docs)
+    schema = whole.schema
     for rows in _blocks(_items(benchmark, item_id, item_text)):  # what one block's pass lets through, the next one reads
-        whole = whole.select(F.col(f"{ROW}.{text_column}").cast("string").alias("_text"), ROW).mapInArrow(_clean_rows(docs, rows, similarity), schema)
+        whole = whole.mapInArrow(_clean_rows(docs, rows, similarity, text_column), schema)
     return unpacked_rows(whole)
 
 
-def _clean_rows(docs: DataFrame, items: list[tuple[int, str]], similarity: float):
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+def _clean_rows(docs: DataFrame, items: list[tuple[int, str]], similarity: float, text_column: str):
+    sent, place = docs.sparkSession.sparkContext.broadcast(items), place_of(docs, text_column)
 
     def work(batches):
         index = Index(sent.value, similarity)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                gone = {k for k, *_ in matches(index, part.column(0).to_pylist())}
-                yield part.select([ROW]).filter(pa.array([k not in gone for k in range(part.num_rows)]))
+                gone = {k for k, *_ in matches(index, texts_of(part.column(0), place))}
+                yield part.filter(pa.array([k not in gone for k in range(part.num_rows)]))
 
     return work

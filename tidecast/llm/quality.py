@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.llm.common import ROW, extended, packed_rows, settle, unpacked_rows
+from tidecast.llm.common import extended, packed_rows, place_of, settle, texts_of, unpacked_rows
 
 ROUNDS = 60
 PAIRS = 400_000
@@ -250,5 +250,14 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) -> DataFrame:
     """The documents whose score reaches the threshold set by quantile, with all their columns."""
-    whole = packed_rows(docs).select(ROW, F.col(f"{ROW}.{text}").alias("text"))
-    return unpacked_rows(score(whole, model).filter(F.col("quality_score") >= cut))
+    sent, place = docs.sparkSession.sparkContext.broadcast(model), place_of(docs, text)
+
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                rows = np.array([features(t or "") for t in texts_of(part.column(0), place)]).reshape(-1, len(FEATURES))
+                yield part.filter(pa.array(~(sent.value.score(rows) < cut)))
+
+    whole = packed_rows(docs)
+    return unpacked_rows(whole.mapInArrow(work, whole.schema))
