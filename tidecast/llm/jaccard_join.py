@@ -347,7 +347,8 @@ def records(texts: DataFrame, scanned: DataFrame, percent: int = PERCENT, shingl
     content = again.mapInArrow(_read_again(shingle), CONTENT).join(met.select("node"), "node", "left_semi").dropDuplicates(["node"])
     content = settle(content)
     plain = content.select("node", "n", "parities").join(met.filter(F.size("keys") > 0), "node").withColumn("unshared", F.lit(0))
-    crowded = content.join(met.filter(F.col("most") > list_size).select("node"), "node").select("node", "n", "hashes").repartition("node")
+    crowded = content.join(met.filter(F.col("most") > list_size).select("node"), "node").select("node", "n", "hashes")
+    crowded = crowded.repartition(F.xxhash64("node"))  # evenly, whatever way they were joined
     sizes = crowded.select("node", F.col("n").cast("long").alias("shingle"), F.lit(-1).alias("frequency"))
     listed = _lists(crowded.select("node", "hashes")).unionByName(sizes).select("node", "frequency", "shingle")
     sorted_ = listed.repartition("node").sortWithinPartitions("node", F.col("frequency") > 0, "shingle")
