@@ -129,6 +129,54 @@ def test_repeated_ids_are_rows_of_their_own(spark):
     assert got == sorted([(0, 0, k + 1, n, 65536, 256 * 204) for _ in range(2) for k, n in enumerate((3, 4))])
 
 
+@pytest.mark.parametrize("scale, labels", [(1.0, 1), (1.0, 60), (1e5, 3), (3e6, 3)])
+def test_negatives_of_many_cells(spark, monkeypatch, scale, labels):
+    """Rows and anchors in many cells, with scores that are exact in floats, in doubles and in neither; few and many labels."""
+    monkeypatch.setattr(hard_negatives, "PAIRS", 1)
+    rng = np.random.default_rng(14)
+    rows = [(k, int(rng.integers(labels)), np.round(scale * rng.uniform(-1, 1, 5), 2).tolist()) for k in range(300)]
+    usable = hard_negatives.usable(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3))
+    assert min(hard_negatives.dealing(300, 30, 5, 7)) > 1
+    got = hard_negatives.mine(usable, F.col("id") % 10 == 0, chunk_rows=7, block_anchors=4)
+    want = _negatives([(i, label, [int(np.floor(256.0 * x)) for x in v]) for i, label, v in rows], 10)
+    assert (len(want) > 40) == (labels > 1) and sorted(map(tuple, got.collect())) == want
+
+
+def test_vectors_are_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """Neither many chunks nor many blocks multiply what is shuffled, and no row holds many vectors."""
+    sent, kind = [], type(spark.range(1))
+    run = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: sent.append(self) or run(self, *a, **b))
+    rows = [(k, k % 3, [float(k % 7), 1.0]) for k in range(400)]
+    frame = hard_negatives.usable(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"))
+    hard_negatives.mine(frame, F.col("id") % 50 == 0, chunk_rows=8, block_anchors=2).count()
+    for given in sent:
+        lists = [F.size(f.name) for f in given.schema if f.dataType.simpleString().startswith("array<struct")]
+        (n,) = given.select(F.sum(sum(lists, F.lit(0)) if lists else F.lit(1))).first()
+        assert not lists and n <= 2 * len(rows)
+    assert len(sent) == 2
+    for n in (10**5, 10**7, 10**9):
+        groups, parts = hard_negatives.dealing(n, n // 50, 64, hard_negatives.ROWS)
+        assert n * 64 / groups <= hard_negatives.HELD and parts <= hard_negatives.PARTS and groups <= max(25, 1 + n * 64 // hard_negatives.HELD)
+
+
+def test_levels_that_pay_discard_no_wanted_row():
+    rng = np.random.default_rng(15)
+    vectors = np.repeat(rng.integers(-90, 90, (900, 64)), 16, axis=1) + rng.integers(-3, 4, (900, 1024))  # even segments
+    chunks = [{"key": np.arange(k, k + 300), "id": np.arange(k, k + 300), "label": np.ones(300, dtype=np.int64), "vectors": vectors[k : k + 300]} for k in (0, 300, 600)]
+    low, high = np.full((40, 2), -(2**62)), np.full((40, 2), 2**62)
+    high[:, 1] = 10**6
+    anchors = {"key": np.arange(40), "label": np.zeros(40, dtype=np.int64), "vectors": vectors[:40], "low": low, "high": high}
+    levels = hard_negatives.Levels()
+    block = hard_negatives.Block(anchors, False, 3, levels)
+    for chunk in chunks:
+        block.meet(chunk)
+    assert not levels.rests[0]
+    exact, got = vectors[:40] @ vectors.T, block.found().to_pydict()
+    want = [(a, w, exact[a, r], r) for w in (0, 1) for a in range(40) for r in sorted((r for r in range(900) if r != a and exact[a, r] <= high[a, w]), key=lambda r: (-exact[a, r], r))[:3]]
+    assert sorted(zip(got["anchor_key"], got["window"], got["score"], got["id"])) == sorted(want)
+
+
 def _set(text):
     words = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[k : k + 4]) for k in range(max(1, len(words) - 3))} if words else set()
